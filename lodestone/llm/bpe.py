@@ -234,6 +234,10 @@ class Vocabulary:
             parts.append(self._plain(text[at:] if at else text))
         return np.fromiter(chain.from_iterable(parts), "<u4")
 
+    def encode_ordinary(self, text: str | None) -> np.ndarray:
+        """Ids of a text in which special strings are ordinary text."""
+        return np.fromiter(self._plain(text) if text else (), "<u4")
+
     def decode(self, ids: np.ndarray) -> str:
         starts = self.offsets[ids]
         sizes = self.offsets[ids.astype(np.int64) + 1] - starts

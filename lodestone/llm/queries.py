@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, chat, language_id, pii, quality_classifier, quality_rules, sharding, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": quality_classifier.query,
     "op3_bpe": bpe.query,
+    "op4_chat_formatting": chat.query,
+    "op5_token_counts": token_counts.query,
+    "op6_sharding": sharding.query,
+    "op7_language_id": language_id.query,
+    "op8_quality_rules": quality_rules.query,
+    "op9_pii": pii.query,
+    "op10_simhash_near_dedup": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.ORACLE}
