@@ -49,7 +49,7 @@ RULES = (
     Rule("symbols", "n_symbols / word_chars", 0.05, 8),
     Rule("shouting", "n_upper / word_chars", 0.25, 8),
     Rule("repeats", "n_repeat_words / n_words", 0.3, 8),
-    Rule("lines", "n_dup_lines / n_lines", 0.3, 8),
+    Rule("lines", "n_dup_lines / n_lines", 0.5, 8),
     Rule("long_words", "word_chars / n_words", 12.0, 8),
 )
 

@@ -26,6 +26,8 @@ from .common import cut, table
 SHARDS, ROW_BYTES, ID_BITS, STEP = 40, 16, 24, 12
 #: A splitter may miss its ideal position by this share of a shard.
 TOLERANCE = 0.001
+#: And by this share if that saves a group of equal texts from being cut.
+GROUP_TOLERANCE = 0.05
 #: Rows that one task numbers.
 PIECE_ROWS = 250_000
 
@@ -38,7 +40,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"))
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[int], int]:
+def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, group_tolerance: float = GROUP_TOLERANCE) -> tuple[list[int], int]:
     """The least key of each shard from 1 on, for bytes as equal as the keys allow; and the number of rows."""
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     total = total or 0
@@ -47,7 +49,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
     bins, waiting = {-(1 << 63): 0}, {-(1 << 63): list(range(1, shards))}
     bits = 64
     while waiting and total:
-        step = min(STEP, bits)
+        step = min(STEP, bits - ID_BITS if bits > ID_BITS else bits)
         prefix = F.shiftright("key", bits) if bits < 64 else F.lit(0).cast("long")
         inside = rows if bits == 64 else rows.filter(prefix.isin([k >> bits for k in waiting]))
         bits -= step
@@ -55,6 +57,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
         by_bin: dict[int, list[tuple[int, int]]] = {}
         for r in counted:
             by_bin.setdefault((r["bin"] << bits) >> (bits + step) << (bits + step) if bits + step < 64 else -(1 << 63), []).append((r["bin"] << bits, r["bytes"]))
+        within = max(tolerance, group_tolerance) if bits == ID_BITS else tolerance
         next_bins, next_waiting = {}, {}
         for first, targets in waiting.items():
             below, parts, at = bins[first], sorted(by_bin[first]), 0
@@ -66,7 +69,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tup
                 start, size = parts[at]
                 after = parts[at + 1][0] if at + 1 < len(parts) else start + (1 << bits)
                 near, miss = (start, goal - below) if goal - below <= below + size - goal else (after, below + size - goal)
-                if abs(miss) <= tolerance * total / shards or bits == 0:
+                if abs(miss) <= within * total / shards or bits == 0:
                     found[j] = near
                 else:
                     next_bins[start] = below
