@@ -325,5 +325,23 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs without text, with n_tokens, ids array<int>, and decodes: whether decoding gives the text again."""
+    spec = broadcast_vocabulary(docs.sparkSession, path or default_path())
+
+    @F.arrow_udf("struct<n_tokens: bigint, ids: array<int>, decodes: boolean>")
+    def encode(batch: pa.Array) -> pa.Array:
+        vocab = worker_vocabulary(spec)
+        texts = [t.as_py() or "" for t in batch]
+        ids = [vocab.encode(t) for t in texts]
+        ends = np.cumsum([0, *map(len, ids)])
+        flat = pa.array(np.concatenate(ids or [np.zeros(0, "<u4")]).astype(np.int32))
+        back = [vocab.decode(i) == t for t, i in zip(texts, ids)]
+        return pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(back, pa.bool_())], ["n_tokens", "ids", "decodes"])
+
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decodes")]
+    return docs.select(*(F.col(f"`{c}`") for c in rest), encode(F.col("text").cast("string")).alias("__coded")).select(*(f"`{c}`" for c in rest), "__coded.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))

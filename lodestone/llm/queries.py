@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language_id, pii, quality_classifier, quality_rules, sharding, simhash, token_counts
+from . import bpe, chat, decontamination, language_id, pii, quality_classifier, quality_rules, sharding, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.query,
     "op2_quality_classifier": quality_classifier.query,
     "op3_bpe": bpe.query,
     "op4_chat_formatting": chat.query,
