@@ -149,37 +149,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
         rows = cut(rows.join(hot, "key", "left_semi").select("key", "free", "fp").mapInArrow(_refine(radius), "key bigint, free bigint, fp bigint"), "refined")
 
 
-def _roots(groups: DataFrame, radius: int, limit: int) -> DataFrame:
-    """groups (fp, first) with the root of each one's component."""
-    roots = cut(components(links(groups.select("fp"), radius, limit)), "roots").withColumnRenamed("node", "fp")
-    # only linked fingerprints go through the components; all others are their own
-    return groups.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """doc_id, fp, component_id for every row; the component is named by its smallest doc_id."""
     marked = cut(fingerprints(docs, shingle), "fingerprints")
     groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
-    linked = _roots(groups, radius, limit)
+    roots = cut(components(links(groups.select("fp"), radius, limit)), "roots").withColumnRenamed("node", "fp")
+    # only linked fingerprints go through the components; all others are their own
+    linked = groups.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(linked.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """One row of each component, with docs' columns: that of the smallest doc_id, of equal ids any one, and of rows without ids one."""
-
-    @F.arrow_udf("bigint")
-    def print_of(batch: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t.as_py(), shingle) for t in batch], pa.int64())
-
-    names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", F.monotonically_increasing_id().alias("rid"), print_of(F.col("text").cast("string")).alias("fp"))
-    packed = cut(packed, "printed")  # from here on a row keeps its number
-    groups = cut(packed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")), "groups")
-    kept = _roots(groups, radius, limit).groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
-    return packed.join(kept, "rid", "left_semi").select(*(F.col(f"row.`{c}`") for c in names))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
