@@ -2,14 +2,15 @@
 
 Base spans come from the four patterns below, each scanned from left to right without overlap; a match that fails its
 check is dropped and not tried again. The field adds what the patterns cannot see: phone numbers without a country code,
-e-mail addresses written with words for @ and the dot. It labels blank-separated tokens with `-` or a kind, from the
-shape of the token, its number of digits, a few key words, and the coarse shapes of its neighbours. It is trained on the
+e-mail addresses that write @ and the dot as words in brackets. It labels blank-separated tokens with `-` or a kind, from the
+shape of the token and of its neighbours. It is trained on the
 driver from a small generated table (`labelled_table`, a parameter) by maximum likelihood; its weights, a few kB, go to
 the workers. A run of equal labels is a span; it is added if it passes the kind's check and touches no base span.
 
 Decoding is Viterbi in numpy, over batches of windows. A token of letters between tokens of letters can never be part of
 a span: `letters_stay_outside` proves it from the trained weights (for all labels of both neighbours), training fails
-otherwise. Hence a text may be cut at such tokens, and only windows around digits, @ and the key words are decoded, with
+otherwise. Hence a text may be cut at such tokens, and only windows around tokens that are not letters alone
+are decoded, in lines with a digit, an @ or such a bracket, with
 the labels that decoding whole texts would give.
 
 Defined cases: a null or empty text has no spans; spans are counted in code points; equal spans of different kinds are
@@ -94,10 +95,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the field ---
 
 LABELS = ("-", *KINDS)
-#: Words and marks that stand for @ and the dot, and the kind of word they are to the field.
-KEYS = {"[at]": "at", "(at)": "at", "{at}": "at", "[dot]": "dot", "(dot)": "dot", "{dot}": "dot", "dot": "dot"}
-CALLS = ("tel", "phone", "call", "fax", "mobile", "telephone")
-TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]|(?<![^\x20\x09-\x0D])dot(?![^\x20\x09-\x0D])")
+#: What stands for @ and the dot, and the shape it has for the field.
+KEYS = {"[at]": "at", "(at)": "at", "{at}": "at", "[dot]": "dot", "(dot)": "dot", "{dot}": "dot"}
+TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]")
 EDGE = ".,;:!?\"'*#$%&|<>"
 _SHAPE = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"[0-9]{5,}"), "N"), (re.compile(r"[0-9]+"), lambda m: str(len(m[0]))))
 
@@ -108,7 +108,7 @@ def shape(token: str) -> str:
     if core in KEYS:
         return KEYS[core]
     if core.isalpha():
-        return "call" if core.lower() in CALLS else "at?" if core == "at" else "a"
+        return "a"
     for pattern, to in _SHAPE:
         core = pattern.sub(to, core)
     return core[:16]
@@ -141,7 +141,7 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[tuple[str, list[str]
     national = lambda: rnd.choice(["({}) {}-{}", "({}) {} {}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(n(3), n(3), n(4))
     private = {
         "phone": lambda: rnd.choice([national, national, lambda: "+1 " + national(), lambda: "+" + n(2) + " " + n(3) + " " + n(3) + " " + n(3)])(),
-        "email": lambda: rnd.choice(["{} [at] {} [dot] com", "{} (at) {} (dot) org", "{} at {} dot com", "{}@{}.com", "{}.{}@mail.example.org"]).format(word(), word()),
+        "email": lambda: rnd.choice(["{} [at] {} [dot] com", "{} (at) {} (dot) org", "{}@{}.com", "{}.{}@mail.example.org"]).format(word(), word()),
         "ip": lambda: ".".join(str(rnd.randint(1, 255)) for _ in range(4)),
         "card": card,
     }
@@ -154,8 +154,6 @@ def labelled_table(rows: int = 600, seed: int = 11) -> list[tuple[str, list[str]
         tokens = [(plain(), "-") for _ in range(rnd.randint(2, 6))]
         if r % 3:
             kind = rnd.choice(["phone", "phone", "email", "email", "ip", "card"])
-            if kind == "phone" and rnd.random() < 0.3:
-                tokens.append((rnd.choice(CALLS), "-"))
             tokens += [(t, kind) for t in private[kind]().split(" ")]
         else:
             tokens += [(t, "-") for t in rnd.choice(alike)().split(" ")]
@@ -266,7 +264,10 @@ def train(rows: int = 600, seed: int = 11, rounds: int = 120, l2: float = 0.02)
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around everything that is not letters alone, PAD more tokens on each side, cut where windows do not meet."""
+    """Token spans around everything that is not letters alone, PAD more tokens on each side, cut where windows do not meet.
+
+    A line is a sequence of its own; one without digits, @ and brackets cannot hold a span that passes its check.
+    """
     out = []
     if not TRIGGER.search(text):
         return out
@@ -274,7 +275,7 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
     for line in text.split("\n"):
         if TRIGGER.search(line):
             tokens = [(at + m.start(), at + m.end()) for m in RUN.finditer(line)]
-            marked = [i for i, (a, b) in enumerate(tokens) if TRIGGER.search(text, a, b)]
+            marked = [i for i, (a, b) in enumerate(tokens) if shape(text[a:b]) != "a"]
             first = last = -1
             for i in marked:
                 if first < 0:
@@ -289,8 +290,9 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
-AT, DOT = {"at", "[at]", "(at)", "{at}"}, {"dot", "[dot]", "(dot)", "{dot}"}
-_CHECKS = (lambda s: "@" in s or bool(AT & set(s.split(" ")) and DOT & set(s.split(" "))), lambda s: s.count(".") == 3 and not s.strip("0123456789.") and _is_ip(s), _is_card, _is_phone)
+_NUMBER = re.compile(r"[0-9+().\x20/-]+").fullmatch
+AT, DOT = ({k for k, v in KEYS.items() if v == of} for of in ("at", "dot"))
+_CHECKS = (lambda s: "@" in s or bool(AT & set(s.split(" ")) and DOT & set(s.split(" "))), lambda s: s.count(".") == 3 and not s.strip("0123456789.") and _is_ip(s), lambda s: bool(_NUMBER(s)) and _is_card(s), lambda s: bool(_NUMBER(s)) and _is_phone(s))
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
