@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MIN_LENGTH, normalise_query, query_tokens, tokens
+from ..functions.text import DIACRITICS, MIN_LENGTH, TATWEEL, normalise_query, query_tokens, tokens
 
 
 def postings(records: DataFrame, key: str, text: str, **options) -> DataFrame:
@@ -16,12 +19,8 @@ def postings(records: DataFrame, key: str, text: str, **options) -> DataFrame:
 def matches_all(found: Column, query: str) -> Column:
     """Whether an array of tokens holds every token of the search. A search without tokens finds nothing."""
     wanted = query_tokens(query)
-    if not wanted:
-        return F.lit(False)
-    test = F.lit(True)
-    for t in wanted:
-        test = test & F.array_contains(found, t)
-    return test
+    # one use of `found`, so that the tokens are made once
+    return F.size(F.array_intersect(found, F.array(*map(F.lit, wanted)))) == len(wanted) if wanted else F.lit(False)
 
 
 def matches_any(found: Column, query: str) -> Column:
@@ -38,9 +37,20 @@ def matches_prefix(found: Column, prefix: str) -> Column:
 _TESTS = {"all": matches_all, "any": matches_any, "prefix": matches_prefix}
 
 
+def may_match(text: Column, query: str, how: str) -> Column:
+    """False only for texts that cannot match: those without the search's tokens as plain substrings. Marks that
+    normalisation drops could hide one, so texts with such marks pass.
+    """
+    wanted = [normalise_query(query)] if how == "prefix" else query_tokens(query)
+    if not any(wanted):
+        return F.lit(False)
+    held = [F.lower(text).contains(t) for t in wanted if t]
+    return reduce(and_ if how == "all" else or_, held) | text.rlike(f"{DIACRITICS}|{TATWEEL}")
+
+
 def search(records: DataFrame, text: str, query: str, how: str = "all") -> DataFrame:
-    """Records found by one pass over their texts, without a shuffle."""
-    return records.filter(_TESTS[how](tokens(F.col(text)), query))
+    """Records found by one pass over their texts, without a shuffle; only texts that may match are cut into tokens."""
+    return records.filter(may_match(F.col(text), query, how) & _TESTS[how](tokens(F.col(text)), query))
 
 
 def search_keys(index: DataFrame, query: str, how: str = "all") -> DataFrame:
