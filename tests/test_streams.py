@@ -101,3 +101,36 @@ def test_connectors(spark, tmp_path):
     remote.push(df)
     remote.delete_keys(spark.createDataFrame([("key:7", 200)], "key string, ts bigint"))
     assert remote.fetch_since(104).collect()[0].value is None and remote.fetch_since(100).count() == 5
+
+
+def test_sync(spark, tmp_path):
+    from lodestone.sources.sync import sync
+
+    remote = FolderRemote(spark, str(tmp_path / "remote"))
+    rows = lambda *r: spark.createDataFrame(list(r), "key string, value string, ts bigint")
+    remote.push(rows(("a", "remote", 5), ("b", "same", 5), ("c", "old", 3), ("c", "new", 6)))
+    local = rows(("a", "local", 9), ("b", "same", 1), ("d", "mine", 2))
+    first = sync(local, remote, 0)
+    assert {tuple(r) for r in first.merged.collect()} == {("a", "local", 9), ("b", "same", 1), ("c", "new", 6), ("d", "mine", 2)}
+    assert (first.pulled, first.resolved, first.pushed, first.cursor) == (1, 1, 0, 6)
+    remote.push(rows(("d", None, 8)))
+    second = sync(spark.createDataFrame(first.merged.collect()), remote, first.cursor, deletes=True)
+    assert {r.key for r in second.merged.collect()} == {"a", "b", "c"} and (second.pushed, second.cursor) == (3, 8)
+
+
+def test_event_log(spark, tmp_path):
+    import time
+
+    from lodestone.sources.sync import EventLog
+
+    path = str(tmp_path / "changes")
+    _changes(spark, path)
+    log = EventLog()
+    spark.streams.addListener(log)
+    changes.run_available(changes.watch_all(spark, path, "key string, type string, ts timestamp"), _collect([]), str(tmp_path / "c"))
+    for _ in range(50):
+        if any(k == "terminated" for k, *_ in log.events):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(log)
+    assert {"started", "progress", "terminated"} <= {k for k, *_ in log.events} and sum(n for _, _, n in log.events) == 200
