@@ -157,3 +157,37 @@ def keep_good(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *(f"m.{c}" for c in FIELDS[:5]), "verdict.base_failed", "verdict.kept")
+
+
+def oracle() -> str:
+    """The rows of query() as DuckDB SQL."""
+    ratio = lambda r, of="": (lambda top, low: f"CASE WHEN {of}{low} > 0 THEN {of}{top}::DOUBLE / {of}{low} ELSE 0.0::DOUBLE END")(*r.value.split(" / "))
+    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{r.name}' AS rule, {r.floor}::DOUBLE AS floor, {r.spread} AS spread, {ratio(r)} AS x FROM m" for r in RULES)
+
+    def level(keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        mid, low = (f"min(x) FILTER (rn >= {q}::DOUBLE * n)" for q in (0.5, 0.1))
+        return f"SELECT {by}rule, max(n) AS n, greatest(max(floor), {mid} + max(spread) * ({mid} - {low})) AS fence FROM (SELECT *, row_number() OVER (PARTITION BY {by}rule ORDER BY bin) AS rn, count(*) OVER (PARTITION BY {by}rule) AS n FROM b) GROUP BY {by}rule"
+
+    return f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM t)),
+tri AS (SELECT doc_id, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+sized AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM w GROUP BY doc_id),
+m AS (SELECT t.doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
+      FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t) t LEFT JOIN sized USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+v AS ({values}),
+b AS (SELECT v.* REPLACE (CASE WHEN x <= 0 THEN 0.0::DOUBLE ELSE pow({GAMMA}::DOUBLE, bin) * {2 / (1 + GAMMA)!r}::DOUBLE END AS x), bin
+      FROM (SELECT v.*, CASE WHEN x <= 0 THEN {ZERO_BIN} ELSE ceil(ln(x) / ln({GAMMA}::DOUBLE)) END AS bin FROM v JOIN m USING (doc_id) WHERE n_words > 0) v),
+own AS ({level("lang, source")}), by_lang AS ({level("lang")}), corpus AS ({level("")}),
+bad AS (SELECT DISTINCT v.doc_id FROM v JOIN own o ON v.rule = o.rule AND v.lang IS NOT DISTINCT FROM o.lang AND v.source IS NOT DISTINCT FROM o.source
+        JOIN by_lang l ON v.rule = l.rule AND v.lang IS NOT DISTINCT FROM l.lang JOIN corpus c ON v.rule = c.rule
+        WHERE v.x > CASE WHEN o.n >= {MIN_ROWS} THEN o.fence WHEN l.n >= {MIN_ROWS} THEN l.fence ELSE c.fence END)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words,
+       (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
+FROM m
+"""

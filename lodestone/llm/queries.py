@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": simhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.ORACLE, "op8_quality_rules": quality_rules.oracle()}
