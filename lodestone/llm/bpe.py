@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Pieces a worker remembers before it forgets all of them.
-CACHE = 400_000
+#: Entries of a generation of a worker's memory, and pairs it remembers: about 100 MB together.
+CACHE, PAIRS = 150_000, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -38,16 +38,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Ids of the pieces met so far."""
+class _Memory(dict):
+    """Results of a function by text, in two generations: what was not used since the last turn is forgotten at the next."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
+    def __init__(self, make):
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self[piece] = self.vocab.piece(piece.encode())
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.make(text)
+        self[text] = ids
         return ids
 
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
 
 class Vocabulary:
     """Token bytes, merges and the tables derived from them, from the JSON text of a byte-level BPE tokenizer."""
@@ -93,8 +101,8 @@ class Vocabulary:
         self.by_bytes = by_bytes
         self.pairs: dict[tuple[int, int], bool] = {}
         self.sizes = [len(t) for t in self.tokens]
-        self.pieces = _Pieces(self)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pieces = _Memory(lambda piece: self.piece(piece.encode()))
+        self.words = _Memory(self._word)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.special_split = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
@@ -198,10 +206,10 @@ class Vocabulary:
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a blank and a word. Letters alone are one piece, and so is a single mark after them."""
         if word.isalpha():
-            return self.pieces[" " + word]
+            return self.piece((" " + word).encode())
         head, last = word[:-1], word[-1]
         if last in ",.;:!?" and head.isalpha():
-            return self.pieces[" " + head] + self.pieces[last]
+            return self.words[head] + self.pieces[last]
         return self._pieces(" " + word)
 
     def _plain(self, text: str):
@@ -212,16 +220,12 @@ class Vocabulary:
         """
         if _BLANKS.search(text):
             return self._pieces(text)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
+        self.words.turn()
+        self.pieces.turn()
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         first, *rest = text.split(" ")
-        for word in rest:
-            if word not in cache:
-                cache[word] = self._word(word)
-        return chain(self._pieces(first), chain.from_iterable(map(cache.__getitem__, rest)))
+        return chain(self._pieces(first), chain.from_iterable(map(self.words.__getitem__, rest)))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -332,12 +336,16 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     @F.arrow_udf("struct<n_tokens: bigint, ids: array<int>, decodes: boolean>")
     def encode(batch: pa.Array) -> pa.Array:
         vocab = worker_vocabulary(spec)
-        texts = [t.as_py() or "" for t in batch]
-        ids = [vocab.encode(t) for t in texts]
-        ends = np.cumsum([0, *map(len, ids)])
-        flat = pa.array(np.concatenate(ids or [np.zeros(0, "<u4")]).astype(np.int32))
-        back = [vocab.decode(i) == t for t, i in zip(texts, ids)]
-        return pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(back, pa.bool_())], ["n_tokens", "ids", "decodes"])
+        sizes, back, flat = [], [], bytearray()
+        for t in batch:
+            text = t.as_py() or ""
+            ids = vocab.encode(text)
+            sizes.append(len(ids))
+            back.append(vocab.decode(ids) == text)
+            flat += ids.tobytes()
+        ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(flat, np.int32)))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), lists, pa.array(back, pa.bool_())], ["n_tokens", "ids", "decodes"])
 
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decodes")]
     return docs.select(*(F.col(f"`{c}`") for c in rest), encode(F.col("text").cast("string")).alias("__coded")).select(*(f"`{c}`" for c in rest), "__coded.*")

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +44,31 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: later stages survive lost executors without recomputing it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes every table that cut() wrote in this application; call it only when no lazy result needs one."""
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def working_tables() -> Iterator[list[str]]:
+    """The paths of the tables that cut() writes inside the block."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables; call it only when no lazy result needs one."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
