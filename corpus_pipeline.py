@@ -1,32 +1,62 @@
 """From raw documents to token ids, in five stages. Each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 The stages keep the columns of documents, but for the last one, which puts token ids in place of the text.
+
+A stage's result is written before the next stage begins. So a stage first deletes the working tables of the stage before it,
+unless its own input still reads them; else each stage's copies of the texts would stay until the end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, decontamination, near_copies, pii, quality_rules
-from lodestone.llm.common import cut, table
+from lodestone.llm.common import cut, delete_tables, table, working_tables
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Working tables of the last stage, by application.
+_LEFT: dict[str, list[str]] = {}
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        if left := _LEFT.pop(app, []):
+            read = docs.inputFiles()
+            delete_tables(spark, [p for p in left if not any(p.rsplit("/", 1)[1] in x for x in read)])
+        with working_tables() as written:
+            out = f(spark, docs, sf_dir)
+        _LEFT[app] = written
+        return out
+
+    return run_stage
 
 
+@stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_copies.deduplicate(docs)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redacted(docs)
 
 
+@stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenized(docs)
 
@@ -44,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs, before = table(spark, sf_dir, "documents"), []
+    for name, apply in STAGES:
+        with working_tables() as written:
+            docs = cut(apply(spark, docs, sf_dir), f"stage-{name}")
+        delete_tables(spark, before)
+        before = [written[-1]]  # the stage's result; what it was made from goes when the next stage begins
     return docs
