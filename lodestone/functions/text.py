@@ -18,7 +18,9 @@ SEPARATORS = "[^؀-ۿݐ-ݿ0-9A-Za-z_]+"
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(F.regexp_replace(text, DIACRITICS, ""), TATWEEL, "")))
+    # one pass for both kinds of marks; texts without them, nearly all, are only scanned
+    marks = f"{DIACRITICS}|{TATWEEL}"
+    return F.trim(F.lower(F.when(text.rlike(marks), F.regexp_replace(text, marks, "")).otherwise(text)))
 
 
 def tokens(text: Column, stop_words: Iterable[str] = STOP_WORDS, min_length: int = MIN_LENGTH, most: int = MAX_TOKENS) -> Column:
