@@ -18,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from itertools import chain, pairwise
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +201,12 @@ class Vocabulary:
             self.pairs[key] = known
         return known
 
+    def forget(self) -> None:
+        """Frees what was remembered; called when a task ends, since an idle worker keeps its memory."""
+        for memory in (self.words, self.pieces):
+            memory.old = {}
+            memory.clear()
+
     def _pieces(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
@@ -288,6 +295,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, id_col: str =
             ends = np.cumsum([0, *map(len, ids)])
             flat = np.concatenate(ids or [np.zeros(0, "<u4")]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "ids"])
+        vocab.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<bigint>")
@@ -324,6 +332,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 back.append(hashlib.sha256(vocab.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocab.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
@@ -334,18 +343,20 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     spec = broadcast_vocabulary(docs.sparkSession, path or default_path())
 
     @F.arrow_udf("struct<n_tokens: bigint, ids: array<int>, decodes: boolean>")
-    def encode(batch: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = worker_vocabulary(spec)
-        sizes, back, flat = [], [], bytearray()
-        for t in batch:
-            text = t.as_py() or ""
-            ids = vocab.encode(text)
-            sizes.append(len(ids))
-            back.append(vocab.decode(ids) == text)
-            flat += ids.tobytes()
-        ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
-        lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(flat, np.int32)))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), lists, pa.array(back, pa.bool_())], ["n_tokens", "ids", "decodes"])
+        for batch in batches:
+            sizes, back, flat = [], [], bytearray()
+            for t in batch:
+                text = t.as_py() or ""
+                ids = vocab.encode(text)
+                sizes.append(len(ids))
+                back.append(vocab.decode(ids) == text)
+                flat += ids.tobytes()
+            ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(flat, np.int32)))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), lists, pa.array(back, pa.bool_())], ["n_tokens", "ids", "decodes"])
+        vocab.forget()
 
     rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decodes")]
     return docs.select(*(F.col(f"`{c}`") for c in rest), encode(F.col("text").cast("string")).alias("__coded")).select(*(f"`{c}`" for c in rest), "__coded.*")

@@ -63,6 +63,7 @@ def write_flat(docs: DataFrame, path: str | None = None, *, end: int = END_OF_DO
                     yield pa.RecordBatch.from_pylist(list(flush(size % block)), names)
         if rest := list(flush(0)):
             yield pa.RecordBatch.from_pylist(rest, names)
+        vocab.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs_type = pa.int64() if kind in ("bigint", "int", "smallint", "tinyint") else pa.string()
