@@ -75,7 +75,7 @@ def test_pushdown(spark, people, tmp_path):
     assert "TakeOrderedAndProject" in top
 
 
-CORPUS = [("INV-001", "Invoice Ahmed Mekraji Laptop and Printer"), ("INV-002", "Invoice Mohamed Djelloul Monitor"), ("CLI-001", "Client Ahmed"), ("CLI-002", "Client Ahlam"), ("E", None)]
+CORPUS = [("INV-001", "Invoice Ahmed Salim Laptop and Printer"), ("INV-002", "Invoice Mohamed Karim Monitor"), ("CLI-001", "Client Ahmed"), ("CLI-002", "Client Ahlam"), ("E", None)]
 
 
 def test_search(spark):
