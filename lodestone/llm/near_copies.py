@@ -3,14 +3,14 @@
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash alone
 cannot find them: over 3-word shingles only a seventh of the pairs at 0.8 and a third of those at 0.9 differ in three bits
 or fewer (README), and covering a radius that holds them all (18 bits) would take 2^19 tables. So the covering tables of
-`simhash` are joined by 32 bands of five min-hashes, of which a pair at 0.8 shares one with probability 0.99999. A
-candidate pair's similarity is then measured on all 160 min-hashes (standard error 0.03 at 0.8).
+`simhash` are joined by 32 bands of five min-hashes, of which a pair at 0.8 shares one with probability 0.99999. These only
+name candidates: every link is decided on the two whole shingle sets (as 64-bit hashes).
 
-Texts with the same words are one node from the start. Buckets are lists of nodes; those with the same members, which near
-copies produce in most tables, are reduced to one. In a bucket a maximum spanning forest over the measured similarities
-links what belongs together: n - 1 links at most, and no all-pairs output. A bucket of more than `limit` nodes is dealt into
-chunks by hash, each of which also gets the same `PIVOTS` nodes of the bucket, through which the chunks of a dense group hang
-together; each table deals differently. No node is dropped, and no task gets a bucket whole.
+Texts with the same words are one node from the start. Nodes that buckets connect form a candidate group. A group's sets
+meet in one task, where a breadth-first search over exact similarities links what belongs together: n - 1 links at most, and
+no all-pairs output. A group of more than `limit` nodes is first dealt into chunks by hash, each of which also gets the same
+`PIVOTS` nodes of the group, through which the chunks of a dense group hang together. Then the buckets that still hold nodes
+of more than one part are searched, each whole; one of more than `limit` nodes is dealt into chunks in the same way.
 
 Defined cases: texts of fewer than five words have one shingle, all their words; texts without words (null texts too) are
 copies of one another; a row without doc_id stays only if its group has no other; of rows with equal ids one stays; an empty
@@ -53,42 +53,66 @@ def min_hashes(words: list[bytes]) -> np.ndarray:
     return least
 
 
-def sketch(text: str | None) -> tuple[int, bytes, list[int]]:
-    """The node of a text, a byte for each min-hash, and the keys of its buckets in all tables."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted 64-bit hashes of the text's distinct shingles."""
     words = (text or "").encode().lower().split()
-    least = min_hashes(words)
-    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
+    runs = (words[i : i + SHINGLE] for i in range(max(1, len(words) - SHINGLE + 1)))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(r)) for r in runs], np.uint64))
+
+
+def sketch(text: str | None) -> tuple[int, list[int]]:
+    """The node of a text, and the keys of its buckets in all tables."""
+    words = (text or "").encode().lower().split()
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(min_hashes(words).reshape(BANDS, ROWS))]
     fp = simhash.fingerprint(text) & (1 << 64) - 1
     tables = [xxhash.xxh64_intdigest((fp & m).to_bytes(8, "big"), 1000 + i) for i, m in enumerate(_MASKS)]
     keys = np.array(bands + tables, np.uint64).view(np.int64).tolist()
-    node = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 5)).astype(np.int64))
-    return node, (least ^ (least >> np.uint32(11)) ^ (least >> np.uint32(21))).astype(np.uint8).tobytes(), keys
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), 5)).astype(np.int64)), keys
 
 
 def sketched(text):
-    @F.arrow_udf("struct<node: bigint, marks: binary, keys: array<bigint>>")
+    @F.arrow_udf("struct<node: bigint, keys: array<bigint>>")
+    def make(batch: pa.Array) -> pa.Array:
+        node, keys = map(list, zip(*(sketch(t.as_py()) for t in batch))) if len(batch) else ([], [])
+        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+
+    return make(text.cast("string"))
+
+
+def shingled(text):
+    @F.arrow_udf("binary")
     def make(batch: pa.Array) -> pa.Array:
-        node, marks, keys = map(list, zip(*(sketch(t.as_py()) for t in batch))) if len(batch) else ([], [], [])
-        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["node", "marks", "keys"])
+        return pa.array([shingle_set(t.as_py()).tobytes() for t in batch], pa.binary())
 
     return make(text.cast("string"))
 
 
-def spanning_forest(marks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links of a maximum spanning forest over pairs whose measured similarity is high enough (rows of bytes in, row numbers out)."""
-    n = len(marks)
-    best, link, out = np.full(n, -1.0), np.full(n, -1), []
-    left = np.ones(n, bool)
-    at = 0
-    for _ in range(n):
-        left[at] = False
-        if best[at] >= similarity:
-            out.append((at, int(link[at])))
-        # a byte agrees by chance once in 256
-        measured = ((marks == marks[at]).mean(axis=1) - 1 / 256) * (256 / 255)
-        closer = left & (measured > best)
-        best[closer], link[closer] = measured[closer], at
-        at = int(np.where(left, best, -2.0).argmax())
+def spanning_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (row numbers) that connect what the pairs of at least the Jaccard similarity connect. No set is empty."""
+    sizes = np.array([len(x) for x in sets])
+    every, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    held = np.zeros(len(every), bool)
+    left, starts, alive, out = np.arange(len(sets)), ends - sizes, np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        if not alive[first]:
+            continue
+        alive[first] = False
+        queue = [first]
+        while queue and alive.any():
+            if 2 * alive.sum() < len(left):
+                left = np.flatnonzero(alive)
+                flat = np.concatenate([own[i] for i in left.tolist()])
+                starts = np.cumsum(sizes[left]) - sizes[left]
+            at = queue.pop()
+            held[own[at]] = True
+            shared = np.add.reduceat(held[flat], starts, dtype=np.int64)
+            held[own[at]] = False
+            near = left[(shared / (sizes[left] + sizes[at] - shared) >= similarity) & alive[left]]
+            alive[near] = False
+            queue += near.tolist()
+            out += [(at, i) for i in near.tolist()]
     return out
 
 
@@ -98,8 +122,7 @@ def _linked(similarity: float):
             a, b = [], []
             for members in batch.column(0):
                 rows = members.as_py()
-                marks = np.frombuffer(b"".join(r["marks"] for r in rows), np.uint8).reshape(len(rows), -1)
-                for i, j in spanning_forest(marks, similarity):
+                for i, j in spanning_forest([np.frombuffer(r["shingles"], np.uint64) for r in rows], similarity):
                     a.append(rows[i]["node"])
                     b.append(rows[j]["node"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -107,34 +130,57 @@ def _linked(similarity: float):
     return run
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
-    """Links (a, b) between near copies among nodes (node, marks, keys), a written table of distinct nodes."""
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit), "large-buckets")
-    if not large.isEmpty():
-        # few keys: a bucket above the limit uses up `limit` of the rows
-        met = rows.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        chunks = F.ceil(F.col("n") / (limit - 2 * PIVOTS))
-        own = F.array(F.pmod(F.xxhash64("node", "key"), chunks))
-        pivot = F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("n") / PIVOTS)) == 0
-        chunk = F.explode(F.when(pivot, F.sequence(F.lit(0).cast("bigint"), chunks - 1)).otherwise(own))
-        dealt = met.filter("n > 0").select("node", "key", chunk.alias("chunk")).select("node", F.xxhash64("key", "chunk").alias("key"))
-        rows = met.filter("n = 0").select("node", "key").unionByName(dealt)
-    buckets = rows.groupBy("key").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1)
-    distinct = buckets.select(F.sort_array("nodes").alias("nodes")).distinct()
-    members = distinct.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
-    marked = members.join(nodes.select("node", "marks"), "node")
-    gathered = marked.groupBy("bucket").agg(F.collect_list(F.struct("node", "marks")).alias("members"))
+def _verified(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within each bucket of members (bucket, node, shingles)."""
+    gathered = members.groupBy("bucket").agg(F.collect_list(F.struct("node", "shingles")).alias("members")).filter(F.size("members") > 1)
     return gathered.select("members").mapInArrow(_linked(similarity), "a bigint, b bigint")
 
 
+def _dealt(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """rows (key, node, n and others) with the column bucket: keys of n > limit rows are dealt into chunks that share pivots."""
+    chunks = F.ceil(F.col("n") / max(1, limit - 2 * PIVOTS))
+    own = F.array(F.pmod(F.xxhash64("node", key), chunks))
+    pivot = F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("n") / PIVOTS)) == 0
+    chunk = F.when(F.col("n") <= limit, F.array(F.lit(0).cast("bigint"))).when(pivot, F.sequence(F.lit(0).cast("bigint"), chunks - 1)).otherwise(own)
+    return rows.withColumn("chunk", F.explode(chunk)).withColumn("bucket", F.xxhash64(key, "chunk"))
+
+
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes (node, keys), a written table of distinct nodes: (node, key) of all buckets, and (node, group) of nodes that share one."""
+    rows = nodes.select("node", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", "least")
+    stars = rows.join(cut(shared, "buckets"), "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return rows, cut(components(stars).withColumnRenamed("root", "group"), "candidates")
+
+
+def links(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
+    """Links (a, b) between near copies among sets (node, group, n, shingles), a written table; rows are all buckets (node, key)."""
+    out = _verified(_dealt(sets, "group", limit), similarity)
+    large = sets.filter(F.col("n") > limit).select("node", "group")
+    if large.isEmpty():
+        return out
+    out = cut(out, "group-links")
+    parts = components(out).withColumnRenamed("root", "part")
+    large = cut(large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+    met = rows.join(large, "node")
+    open_ = met.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    met = cut(met.join(open_.select("key", "n"), "key"), "open")
+    whole = _dealt(met, "key", limit).groupBy("bucket").agg(F.collect_list("node").alias("nodes")).select(F.sort_array("nodes").alias("nodes")).distinct()
+    members = whole.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
+    return out.unionByName(_verified(members.join(sets.select("node", "shingles"), "node"), similarity))
+
+
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
     """One row of each group of near copies, with docs' columns: that of the smallest doc_id."""
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", F.monotonically_increasing_id().alias("rid"), sketched(F.col("text")).alias("s"))
     packed = cut(packed, "sketched")  # from here on a row keeps its number
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
-    nodes = cut(packed.groupBy("s.node").agg(first, F.first("s.marks").alias("marks"), F.first("s.keys").alias("keys")), "nodes")
-    roots = cut(components(links(nodes, similarity, limit)), "roots")
+    nodes = cut(packed.groupBy("s.node").agg(first, F.first("s.keys").alias("keys")), "nodes")
+    rows, groups = candidates(nodes)
+    sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
+    texts = packed.select("rid", F.col("row.text").alias("text")).join(nodes.select("node", "first.rid").join(sized, "node"), "rid")
+    sets = cut(texts.select("node", "group", "n", shingled(F.col("text")).alias("shingles")), "shingles")
+    roots = cut(components(links(rows, sets, similarity, limit)), "roots")
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return packed.join(grouped.select("first.rid"), "rid", "left_semi").select(*(F.col(f"row.`{c}`") for c in names))

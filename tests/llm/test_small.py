@@ -180,6 +180,51 @@ def test_near_copies_in_a_large_group(spark):
         assert sorted(r.doc_id for r in near_copies.deduplicate(df, limit=limit).collect()) == [0, *range(1000, 1050)]
 
 
+def edited_pairs(similarities, words=200, seed=5):
+    """doc_id, text: for each wanted similarity a text, and a copy with words changed far apart that is near that similarity."""
+    import random
+
+    rnd, data = random.Random(seed), []
+    for k, s in enumerate(similarities):
+        base = [f"p{k}w{i}x{rnd.randrange(10**6)}" for i in range(words)]
+        changed = round((words - 4) * (1 - s) / (1 + s))  # shingles that one text has alone
+        copy = list(base)
+        copy[:changed] = [f"e{k}w{i}" for i in range(changed)]
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    return data
+
+
+def exact_copies(data):
+    """The doc_ids that stay, by exact similarity of all pairs."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in data if (w := t.lower().split()) is not None}
+    having = collections.defaultdict(list)
+    for d, s in sets.items():
+        for g in s:
+            having[g].append(d)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, s in sets.items():
+        for e, n in collections.Counter(e for g in s for e in having[g] if e < d).items():
+            if n / (len(s) + len(sets[e]) - n) >= 0.8:
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    return sorted(d for d in root if root[d] == d)
+
+
+def test_near_copies_are_decided_exactly(spark):
+    """Pairs close to the similarity on either side: an estimate gets some of them wrong."""
+    data = edited_pairs([0.7 + 0.2 * i / 160 for i in range(161)])
+    want = exact_copies(data)
+    assert 161 < len(want) < 322
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_copies.deduplicate(df).collect()) == want
+
+
 def test_sharding_laws(spark, docs, empty):
     for df, n in ((docs, 5), (docs, 40), (docs.filter("text is not null and length(text) < 300"), 3)):
         got = sharding.shard_documents(df, n).collect()
