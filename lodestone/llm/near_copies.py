@@ -10,7 +10,9 @@ Texts with the same words are one node from the start. Nodes that buckets connec
 meet in one task, where a breadth-first search over exact similarities links what belongs together: n - 1 links at most, and
 no all-pairs output. A group of more than `limit` nodes is first dealt into chunks by hash, each of which also gets the same
 `PIVOTS` nodes of the group, through which the chunks of a dense group hang together. Then the buckets that still hold nodes
-of more than one part are searched, each whole; one of more than `limit` nodes is dealt into chunks in the same way.
+of more than one part are searched, each whole. The nodes of buckets above the limit meet in blocks, chunk against chunk, so
+that no pair of a bucket is left out; only the nodes of a group's largest part, which are linked already, need not meet each
+other. A group of m such nodes besides its largest part thus costs m / 1024 copies of its sets.
 
 Defined cases: texts of fewer than five words have one shingle, all their words; texts without words (null texts too) are
 copies of one another; a row without doc_id stays only if its group has no other; of rows with equal ids one stays; an empty
@@ -145,6 +147,21 @@ def _dealt(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.withColumn("chunk", F.explode(chunk)).withColumn("bucket", F.xxhash64(key, "chunk"))
 
 
+def _blocks(hot: DataFrame, limit: int) -> DataFrame:
+    """(bucket, node) blocks of hot (group, node, part), a written table, in which all nodes of a group meet that can be in different parts."""
+    side = max(1, limit // 2)
+    sizes = hot.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    sizes = sizes.select("group", "main", F.ceil((F.col("n") - F.col("most")) / side).alias("others"), F.ceil(F.col("most") / side).alias("mains"))
+    at, zero, one = F.col("at"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    in_main = F.col("part") == F.col("main")
+    deal = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), n)
+    placed = hot.join(sizes, "group").withColumn("at", F.when(in_main, F.col("others") + deal(F.col("mains"))).otherwise(deal(F.col("others"))))
+    # the main part's chunks come after the others' and meet those alone
+    meets = F.when(in_main, F.sequence(zero, F.col("others") - one)).otherwise(F.sequence(zero, F.col("others") + F.col("mains") - one))
+    pairs = placed.filter("others > 0").withColumn("with", F.explode(meets))
+    return pairs.select(F.xxhash64("group", F.least(at, "with"), F.greatest(at, "with")).alias("bucket"), "node")
+
+
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of nodes (node, keys), a written table of distinct nodes: (node, key) of all buckets, and (node, group) of nodes that share one."""
     rows = nodes.select("node", F.explode("keys").alias("key"))
@@ -165,8 +182,11 @@ def links(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, limi
     met = rows.join(large, "node")
     open_ = met.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     met = cut(met.join(open_.select("key", "n"), "key"), "open")
-    whole = _dealt(met, "key", limit).groupBy("bucket").agg(F.collect_list("node").alias("nodes")).select(F.sort_array("nodes").alias("nodes")).distinct()
+    whole = met.filter(F.col("n") <= limit).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     members = whole.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node"))
+    hot = cut(met.filter(F.col("n") > limit).select("group", "node", "part").distinct(), "hot")
+    if not hot.isEmpty():
+        members = members.unionByName(_blocks(hot, limit))
     return out.unionByName(_verified(members.join(sets.select("node", "shingles"), "node"), similarity))
 
 

@@ -225,6 +225,26 @@ def test_near_copies_are_decided_exactly(spark):
     assert sorted(r.doc_id for r in near_copies.deduplicate(df).collect()) == want
 
 
+def test_near_copies_in_a_hot_template(spark):
+    """Texts 0.75 alike share one bucket above the limit; the pairs at 0.81 in it are all found."""
+    template = [f"t{i}" for i in range(200)]
+    data = []
+    for k in range(150):
+        one = list(template)
+        one[:24] = [f"own{k}w{i}" for i in range(24)]
+        two = list(one)
+        two[184:] = [f"more{k}w{i}" for i in range(16)]
+        data += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    data += [(1000 + i, " ".join([*template[:199], f"z{i}"])) for i in range(150)]  # the largest part
+    want = exact_copies(data)
+    assert want == [*range(0, 300, 2), 1000]
+    sets = [(d, 0, len(data), bytearray(near_copies.shingle_set(t).tobytes())) for d, t in data]
+    sets = near_copies.cut(spark.createDataFrame(sets, "node bigint, `group` bigint, n bigint, shingles binary"), "test-sets")
+    rows_ = spark.createDataFrame([(d, 1) for d, _ in data], "node bigint, key bigint")
+    linked = {r.node: r.root for r in near_copies.components(near_copies.links(rows_, sets, limit=100)).collect()}
+    assert sorted(d for d, _ in data if linked.get(d, d) == d) == want
+
+
 def test_sharding_laws(spark, docs, empty):
     for df, n in ((docs, 5), (docs, 40), (docs.filter("text is not null and length(text) < 300"), 3)):
         got = sharding.shard_documents(df, n).collect()
