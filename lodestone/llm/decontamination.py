@@ -7,8 +7,10 @@ fewer). Fingerprints are looked up in a multi-index: both are cut into eight byt
 most `radius` = 23 bits agree in one byte up to two bits, so probing each byte's table with all values that near finds every
 fingerprint within the radius. A candidate within the radius is then verified exactly: the weight of the item's shingles that
 the window holds (each counted as often as in both), over the weight of all of the item's shingles, must be at least 0.8;
-a shingle weighs one over the number of items that have it. For copies with 20 % of the shingles changed the expected
-distance is 13 bits and its deviation 3.2, so the radius is 3 deviations away.
+a shingle weighs one over the number of items that have it. For copies with 20 % of equally weighted shingles changed the
+expected distance is 13 bits and its deviation 3.2, so the radius is 3 deviations away. Fingerprints do not see weights: an item
+whose heavy shingles stand behind another preamble can be farther. So windows beyond the radius are candidates too if the weight
+of the item's shingles in them, without the limit to the item's own counts, reaches 0.8 of the item's: no match is lost.
 
 Only windows that share a shingle with an item are fingerprinted. This loses nothing, as the others' similarity is zero. The
 items go to the workers in blocks of bounded size, each of which meets all documents; documents are never shuffled.
@@ -20,6 +22,7 @@ empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -67,6 +70,11 @@ class Lengths:
         self.prints = np.concatenate([fingerprints(votes(s).sum(axis=0, keepdims=True)) for _, s in items])
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None, None] ^ self.prints[None]) <= radius // 8
         self.tables = np.moveaxis(near, 2, 0)  # byte, value -> items whose byte is that near
+        having = defaultdict(list)
+        for k, n in enumerate(self.counts):
+            for g in n:
+                having[g].append(k)
+        self.having = {g: (np.array(of), weight[g]) for g, of in having.items()}
 
     def candidates(self, prints: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
         """(row of prints, item, distance) of all pairs within the radius."""
@@ -78,6 +86,21 @@ class Lengths:
         ok = distance <= radius
         return list(zip(row[ok].tolist(), item[ok].tolist(), distance[ok].tolist()))
 
+    def heavy(self, shingles: list, hits: list[int], part: list[int], span: int, similarity: float) -> Iterator[tuple[int, int]]:
+        """(row of part, item) of all windows in which the weight of the item's shingles, repetitions included, is high enough."""
+        inside = hits[bisect_left(hits, part[0]) : bisect_left(hits, part[-1] + span)]
+        of = [self.having[shingles[i]] for i in inside]
+        items = np.concatenate([k for k, _ in of])
+        at = np.repeat(np.array(inside), [len(k) for k, _ in of])
+        weights = np.repeat(np.array([w for _, w in of]), [len(k) for k, _ in of])
+        least = similarity * np.array(self.total) * (1 - 1e-9)
+        starts = np.array(part)
+        for k in np.flatnonzero(np.bincount(items, weights, len(least)) >= least).tolist():
+            mine = items == k
+            sums = np.concatenate(([0.0], np.cumsum(weights[mine])))
+            held = sums[np.searchsorted(at[mine], starts + span)] - sums[np.searchsorted(at[mine], starts)]
+            yield from ((row, k) for row in np.flatnonzero(held >= least[k] - 1e-9).tolist())
+
 
 class Index:
     """A block of benchmark items."""
@@ -127,7 +150,11 @@ class Index:
             np.cumsum(votes(shingles[low:high]), axis=0, out=sums[1:])
             at = np.array(part) - low
             prints = fingerprints(sums[at + span] - sums[at])
-            for row, item, distance in of.candidates(prints, self.radius):
+            found_at = {(row, item): distance for row, item, distance in of.candidates(prints, self.radius)}
+            for row, item in of.heavy(shingles, hits, part, span, self.similarity):
+                if (row, item) not in found_at:
+                    found_at[row, item] = int(np.bitwise_count(prints[row] ^ of.prints[item]).sum())
+            for (row, item), distance in found_at.items():
                 held = Counter(g for g in shingles[part[row] : part[row] + span] if g in of.counts[item])
                 shared = sum(self.weight[g] * min(c, of.counts[item][g]) for g, c in held.items())
                 found = (shared / of.total[item], -distance, -part[row])

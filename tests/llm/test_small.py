@@ -423,6 +423,18 @@ def test_decontamination(spark, docs, empty):
     assert len(many) == 4 and sum(bool(b.matches(item)) for b in many) == 2
 
 
+def test_decontamination_behind_another_preamble(spark):
+    """Items with a shared template: a document with an item's own part after other words is similar by weight, far by SimHash."""
+    template = [f"t{i}" for i in range(100)]
+    items = [(i, " ".join([*template, *(f"own{i}w{j}" for j in range(40))])) for i in range(300)]
+    data = [(i, " ".join([*(f"other{i}w{j}" for j in range(100)), *(f"own{i}w{j}" for j in range(40))])) for i in range(300)]
+    data.append((1000, " ".join([*template, *(f"other{j}" for j in range(40))])))
+    df, benchmark = spark.createDataFrame(data, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontamination.matches(df, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(300)]
+    assert all(r.first_word == 0 and r.similarity == pytest.approx((36 + 0) / (36 + 4 + 96 / 300), abs=1e-9) for r in got)
+
+
 def test_multi_index_finds_all_within_the_radius():
     import numpy as np
 
