@@ -7,7 +7,7 @@ fewer). Fingerprints are looked up in a multi-index: both are cut into eight byt
 most `radius` = 23 bits agree in one byte up to two bits, so probing each byte's table with all values that near finds every
 fingerprint within the radius. A candidate within the radius is then verified exactly: the weight of the item's shingles that
 the window holds (each counted as often as in both), over the weight of all of the item's shingles, must be at least 0.8;
-a shingle weighs one over the number of items that have it. For copies with 20 % of equally weighted shingles changed the
+a shingle weighs one over the number of items of the whole benchmark that have it. For copies with 20 % of equally weighted shingles changed the
 expected distance is 13 bits and its deviation 3.2, so the radius is 3 deviations away. Fingerprints do not see weights: an item
 whose heavy shingles stand behind another preamble can be farther. So windows beyond the radius are candidates too if the weight
 of the item's shingles in them, without the limit to the item's own counts, reaches 0.8 of the item's: no match is lost.
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 SHINGLE, RADIUS, SIMILARITY = 5, 23, 0.8
 #: An item block's limits; larger benchmarks take more blocks.
@@ -103,19 +103,18 @@ class Lengths:
 
 
 class Index:
-    """A block of benchmark items."""
+    """A block of benchmark items: id, text, and how many items of the whole benchmark have each of its distinct shingles."""
 
-    def __init__(self, items: list[tuple[object, str]], radius: int = RADIUS, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[object, str, list[int]]], radius: int = RADIUS, similarity: float = SIMILARITY):
         self.radius, self.similarity = radius, similarity
         by_words: dict[int, list] = defaultdict(list)
-        having: Counter = Counter()
-        for i, text in items:
+        self.weight: dict[tuple[bytes, ...], float] = {}
+        for i, text, having in items:
             words = words_of(text)
             if words:
                 s = shingles_of(words, min(SHINGLE, len(words)))
                 by_words[len(words)].append((i, s))
-                having.update(set(s))
-        self.weight = {g: 1 / n for g, n in having.items()}
+                self.weight.update(zip(dict.fromkeys(s), (1 / n for n in having), strict=True))
         self.lengths = [Lengths(n, of, self.weight, radius) for n, of in sorted(by_words.items())]
         #: shingle size -> shingle -> which lengths have items with it
         self.known: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
@@ -175,11 +174,31 @@ def _runs(starts: list[int], most: int) -> Iterator[list[int]]:
         yield run
 
 
+def distinct_shingles(text: Column) -> Column:
+    """An item's distinct shingles in the order of their first places, as bytes."""
+
+    @F.arrow_udf("array<binary>")
+    def make(batch: pa.Array) -> pa.Array:
+        words = (words_of(t.as_py()) for t in batch)
+        return pa.array([[b" ".join(g) for g in dict.fromkeys(shingles_of(w, min(SHINGLE, len(w))))] if w else [] for w in words], pa.list_(pa.binary()))
+
+    return make(text.cast("string"))
+
+
+def counted(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, and in how many items of the whole benchmark each of the item's distinct shingles is (null without words)."""
+    items = cut(benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("rid")).filter("text IS NOT NULL"), "items")
+    shingles = cut(items.select("rid", F.posexplode(distinct_shingles(F.col("text"))).alias("at", "g")), "item-shingles")
+    counts = shingles.join(shingles.groupBy("g").agg(F.count("*").alias("n")), "g")
+    having = counts.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("having"))
+    return items.join(having, "rid", "left").select("item_id", "text", F.col("having.n").alias("having"))
+
+
 def item_blocks(benchmark: DataFrame, max_items: int = BLOCK_ITEMS, max_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
     """Indexes over item_id and text; the driver holds one block's texts at a time."""
     block, size = [], 0
-    for r in benchmark.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
+    for r in counted(benchmark).toLocalIterator():
+        block.append((r["item_id"], r["text"], r["having"]))
         size += len(r["text"].encode())
         if len(block) >= max_items or size >= max_bytes:
             yield Index(block)

@@ -435,6 +435,17 @@ def test_decontamination_behind_another_preamble(spark):
     assert all(r.first_word == 0 and r.similarity == pytest.approx((36 + 0) / (36 + 4 + 96 / 300), abs=1e-9) for r in got)
 
 
+def test_decontamination_weights_do_not_depend_on_blocks(spark):
+    template = [f"t{i}" for i in range(30)]
+    items = [(i, " ".join([*template, *(f"own{i}w{j}" for j in range(20))])) for i in range(9)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    weights = [{g: w for b in decontamination.item_blocks(benchmark, max_items=n) for g, w in b.weight.items()} for n in (4096, 2)]
+    assert weights[0] == weights[1] and set(weights[0].values()) == {1 / 9, 1.0}
+    text = " ".join([*(f"x{j}" for j in range(30)), *(f"own4w{j}" for j in range(20))])
+    found = [[(i, round(s, 9)) for b in decontamination.item_blocks(benchmark, max_items=n) for i, _, _, s in b.matches(text)] for n in (4096, 2)]
+    assert found[0] == found[1]
+
+
 def test_multi_index_finds_all_within_the_radius():
     import numpy as np
 
