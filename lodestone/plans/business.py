@@ -175,6 +175,12 @@ def _(d: Data) -> DataFrame:
     return d.movements().filter("product < 50").select("id", delta.alias("delta"), F.greatest(20 + delta, F.lit(0.0)).alias("stock_after"))
 
 
+@query("r16_signed_all", "SELECT id, CASE WHEN type = 'in' THEN quantity ELSE -quantity END AS delta, greatest(20 + CASE WHEN type = 'in' THEN quantity ELSE -quantity END, 0) AS stock_after FROM movements", "movements")
+def _(d: Data) -> DataFrame:
+    delta = r.signed(c("type"), c("quantity"))
+    return d.movements().select("id", delta.alias("delta"), F.greatest(20 + delta, F.lit(0.0)).alias("stock_after"))
+
+
 @query("r17_variance", "SELECT id, stock, stock + id % 3 - 1 + 0.0001::DOUBLE AS counted, stock + id % 3 - 1 + 0.0001::DOUBLE - stock AS variance FROM products WHERE id % 3 <> 1", "products")
 def _(d: Data) -> DataFrame:
     counted = d.products().select("id", (c("stock") + c("id") % 3 - 1 + 0.0001).alias("counted"))
@@ -207,6 +213,17 @@ def _(d: Data) -> DataFrame:
     return r.running_stock(d.movements().filter("product < 200"))
 
 
+# stock with a floor at zero is the running sum less its least value so far, if that is negative: no recursion is needed
+@query("r21_ledger_all", "WITH s AS (SELECT product, ts, id, CAST(CASE WHEN type = 'in' THEN quantity ELSE -quantity END AS BIGINT) AS delta FROM movements), b AS (SELECT product, row_number() OVER w AS k, CAST(sum(delta) OVER w AS BIGINT) AS balance FROM s WINDOW w AS (PARTITION BY product ORDER BY ts, id, delta ROWS UNBOUNDED PRECEDING)) SELECT product, max(k) AS n, arg_max(balance, k) - least(min(balance), 0) AS final_stock FROM b GROUP BY product", "movements")
+def _(d: Data) -> DataFrame:
+    return r.ledger(d.movements())
+
+
+@query("r21_running_all", "SELECT id, product, CAST(sum(CASE WHEN type = 'in' THEN quantity ELSE -quantity END) OVER (PARTITION BY product ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM movements", "movements")
+def _(d: Data) -> DataFrame:
+    return r.running_stock(d.movements())
+
+
 @query("r22_filters", "SELECT id FROM products WHERE category = 'Brand#5' AND supplier = 7 UNION ALL (SELECT order_id FROM purchase_orders WHERE status = 'ordered' ORDER BY ts DESC, order_id LIMIT 10)", "products purchase_orders")
 def _(d: Data) -> DataFrame:
     recent = d.purchase_orders().filter("status = 'ordered'").orderBy(c("ts").desc(), "order_id").limit(10)
