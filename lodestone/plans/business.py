@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as r
 from ..operators import versions
-from .data import Data, c, query
+from .data import Data, c, placed, query
 
 COST, SELL = "stock * CAST(cost AS DECIMAL(18,2))", "stock * CAST(price AS DECIMAL(18,2))"
 DEC = "CAST({} AS DOUBLE)"
@@ -57,6 +57,11 @@ def _(d: Data) -> DataFrame:
     return d.suppliers().filter("id < 10").join(d.products().select(c("id").alias("product"), "supplier"), c("id") == c("supplier")).select("id", "product")
 
 
+@query("j_parent_detail_all", "SELECT s.id, p.id AS product FROM suppliers s JOIN products p ON p.supplier = s.id", "suppliers products")
+def _(d: Data) -> DataFrame:
+    return d.suppliers().join(d.products().select(c("id").alias("product"), "supplier"), c("id") == c("supplier")).select("id", "product")
+
+
 @query("j_division", "SELECT user_id FROM events WHERE event_type IN ('click', 'purchase', 'error') GROUP BY user_id HAVING count(DISTINCT event_type) = 3")
 def _(d: Data) -> DataFrame:
     wanted = ["click", "purchase", "error"]
@@ -266,6 +271,11 @@ def _(d: Data) -> DataFrame:
     return r.sorted_products(d.products(), "value", True).limit(25).select("id")
 
 
+@query("r29_sorted_all", f"SELECT id, row_number() OVER (ORDER BY {COST} DESC, id) - 1 AS place FROM products", "products")
+def _(d: Data) -> DataFrame:
+    return placed(r.sorted_products(d.products(), "value", True).select("id"))
+
+
 @query("r30_children", "SELECT s.id, count(p.id) AS n FROM suppliers s LEFT JOIN products p ON p.supplier = s.id GROUP BY s.id", "suppliers products")
 def _(d: Data) -> DataFrame:
     return r.child_counts(d.suppliers(), d.products().select("supplier"), "supplier")

@@ -108,6 +108,12 @@ VIEWS = {
 _NEEDS = {"audit": ["log"]}
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Sorted rows with their place from 0, counted partition by partition."""
+    numbered = rows.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
+    return rows.sparkSession.createDataFrame(numbered, rows.schema.add("place", "long"))
+
+
 def query(name: str, sql: str | None = None, views: str = ""):
     """Registers a query over Data, with the SQL that gives the same rows; `views` names what the SQL selects from."""
 

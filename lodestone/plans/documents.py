@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import routing, search, store
 from ..sources import codec
-from .data import Data, c, query
+from .data import Data, c, placed, query
 from .query import Query, first_match, open_range, scalar_records, search_fields
 
 ORDER = "SELECT key, o_orderkey, o_totalprice FROM keyed_orders WHERE "
@@ -53,6 +53,13 @@ for name, sql, test in [
 ]:
     query(name, sql, "keyed_orders")(lambda d, test=test: _orders(d, test(Query())))
 
+PLACED = "SELECT key, o_orderkey, o_totalprice, row_number() OVER (ORDER BY {}) - 1 AS place FROM keyed_orders"
+for name, order, test in [
+    ("p_multisort_all", "o_orderpriority, o_totalprice DESC, key", lambda q: q.order_by("o_orderpriority").then_by_desc("o_totalprice")),
+    ("p_sort_nulls_all", "status NULLS FIRST, key", lambda q: q.order_by("status")),
+]:
+    query(name, PLACED.format(order), "keyed_orders")(lambda d, test=test: placed(_orders(d, test(Query()))))
+
 for name, sql, test in [
     ("p_gt", ITEM + "discount > 0.07::DOUBLE", lambda q: q.where("discount").greater_than(0.07)),
     ("p_ge", ITEM + "discount >= 0.07::DOUBLE", lambda q: q.where("discount").greater_than_or_equal(0.07)),
