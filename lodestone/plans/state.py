@@ -367,6 +367,11 @@ def _(d: Data) -> DataFrame:
     return rows.select("doc_id", F.sha2(codec.inflated(codec.deflated(c("text"))), 256).alias("digest"))
 
 
+@query("z1_roundtrip_all", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def _(d: Data) -> DataFrame:
+    return d.documents.select("doc_id", F.sha2(codec.inflated(codec.deflated(c("text"))), 256).alias("digest"))
+
+
 @query("z2_estimate", "SELECT doc_id, " + ", ".join(f"{_size_case('strlen(text)', k)} AS {k}" for k in codec.ESTIMATES) + " FROM documents")
 def _(d: Data) -> DataFrame:
     return d.documents.select("doc_id", *(codec.estimated_ratio(F.octet_length("text"), k).alias(k) for k in codec.ESTIMATES))

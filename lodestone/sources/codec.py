@@ -35,8 +35,12 @@ def auto_flag(size: Column, large: int = 4096) -> Column:
     return F.when(size < MIN_SIZE, NONE).when(size >= large, GZIP).otherwise(LZ4).cast("int")
 
 
+def _is_zlib(raw: bytes) -> bool:
+    return len(raw) >= 2 and raw[0] == 0x78 and int.from_bytes(raw[:2], "big") % 31 == 0
+
+
 def deflated(data: Column, level: int = 6) -> Column:
-    """Compressed bytes, or the bytes themselves where that is not smaller; Spark has no such function, so zlib runs on Arrow batches."""
+    """Compressed bytes, or the bytes themselves where that is not smaller and they do not begin like compressed ones; Spark has no such function, so zlib runs on Arrow batches."""
 
     @F.arrow_udf("binary")
     def pack(batch: pa.Array) -> pa.Array:
@@ -44,7 +48,7 @@ def deflated(data: Column, level: int = 6) -> Column:
         for x in batch:
             raw = x.as_py()
             small = None if raw is None else zlib.compress(raw, level)
-            out.append(small if raw is not None and len(small) < len(raw) else raw)
+            out.append(small if raw is not None and (len(small) < len(raw) or _is_zlib(raw)) else raw)
         return pa.array(out, pa.binary())
 
     return pack(data.cast("binary"))
@@ -53,7 +57,8 @@ def deflated(data: Column, level: int = 6) -> Column:
 def inflated(data: Column) -> Column:
     @F.arrow_udf("binary")
     def unpack(batch: pa.Array) -> pa.Array:
-        return pa.array([None if x.as_py() is None else zlib.decompress(x.as_py()) for x in batch], pa.binary())
+        rows = (x.as_py() for x in batch)
+        return pa.array([zlib.decompress(raw) if raw is not None and _is_zlib(raw) else raw for raw in rows], pa.binary())
 
     return unpack(data.cast("binary"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -239,3 +240,10 @@ def test_ledger_never_falls_below_zero(spark):
     rows = [("p", 1, "in", 5.0, datetime(2026, 1, 1)), ("p", 2, "out", 9.0, datetime(2026, 1, 2)), ("p", 3, "in", 2.0, datetime(2026, 1, 3))]
     df = spark.createDataFrame(rows, "product string, id long, type string, quantity double, ts timestamp")
     assert tuple(reports.ledger(df).first()) == ("p", 3, 2)
+
+
+def test_compression_returns_bytes_that_do_not_shrink(spark):
+    raw = [None, b"", b"x", b"short", b"x marks", zlib.compress(b"a"), bytes(range(256)), b"long " * 100]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(raw)], "i int, b binary")
+    back = df.select("i", codec.inflated(codec.deflated(c("b"))).alias("x")).collect()
+    assert [None if r.x is None else bytes(r.x) for r in sorted(back)] == raw
