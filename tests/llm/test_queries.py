@@ -128,27 +128,33 @@ def brute_rules(rows):
     value = lambda m, rule: m[names.index(top)] / m[names.index(low)] if (top := rule.value.split(" / ")[0]) and (low := rule.value.split(" / ")[1]) and m[names.index(low)] else 0.0
     names = list(quality_rules.FIELDS)
     gamma = quality_rules.GAMMA
+    failed = {d: m[0] < 50 or 100 * m[4] > 50 * m[0] for d, m in measured.items()}
+
+    def quantile(values, q):
+        bins = sorted(quality_rules.ZERO_BIN if x <= 0 else math.ceil(math.log(x) / math.log(gamma)) for x in values)
+        b = bins[max(0, math.ceil(q * len(bins)) - 1)]
+        return 0.0 if b == quality_rules.ZERO_BIN else gamma**b * 2 / (1 + gamma)
 
     def fence(ids, rule):
-        bins = sorted(quality_rules.ZERO_BIN if value(measured[d], rule) <= 0 else math.ceil(math.log(value(measured[d], rule)) / math.log(gamma)) for d in ids)
-        at = lambda q: 0.0 if (b := bins[max(0, math.ceil(q * len(bins)) - 1)]) == quality_rules.ZERO_BIN else gamma**b * 2 / (1 + gamma)
-        return max(rule.floor, at(0.5) + rule.spread * (at(0.5) - at(0.1)))
+        low, mid, high = (quantile([value(measured[d], rule) for d in ids], q) for q in (0.1, 0.5, 0.75))
+        size = quantile([measured[d][names.index(rule.value.split(" / ")[1])] for d in ids], 0.5)
+        reach = rule.spread * max(mid - low, high - mid, rule.grain / size)
+        return (mid - reach if rule.both else -1, mid + reach)
 
     groups, by_lang, corpus = collections.defaultdict(list), collections.defaultdict(list), []
     for d, _, lang, source in rows:
-        if measured[d][0]:
+        if not failed[d]:
             groups[lang, source].append(d)
             by_lang[lang].append(d)
             corpus.append(d)
     fences = {}
     out = {}
     for d, _, lang, source in rows:
-        if (lang, source) not in fences:
-            use = next((g for g in (groups[lang, source], by_lang[lang]) if len(g) >= quality_rules.MIN_ROWS), corpus)
-            fences[lang, source] = {r.name: fence(use, r) for r in quality_rules.RULES}
         m = measured[d]
-        failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
-        out[d] = (*m[:5], failed, not failed and all(value(m, r) <= fences[lang, source][r.name] for r in quality_rules.RULES))
+        if not failed[d] and (lang, source) not in fences:
+            use = next((g for g in (groups[lang, source], by_lang[lang]) if len(g) >= quality_rules.MIN_ROWS), corpus)
+            fences[lang, source] = [(r, *fence(use, r)) for r in quality_rules.RULES]
+        out[d] = (*m[:5], failed[d], not failed[d] and all(low <= value(m, r) <= high for r, low, high in fences[lang, source]))
     return out
 
 
@@ -238,3 +244,27 @@ def test_pipeline(spark, docs, tmp_path):
     sure = lambda rows: {d: v for d, v in rows.items() if d not in unsure}
     assert sure(got) == sure(want) and len(sure(want)) > 50
     assert out.filter("not decodes or n_tokens <> size(ids)").count() == 0
+
+
+def test_op8_fences_come_from_the_sketches(spark):
+    """No constant decides: fences differ between languages, follow a scaled corpus, and part labelled junk from clean texts."""
+    docs = spark.read.parquet(f"{SF_LABELS}/documents.parquet")
+    measured = docs.select("doc_id", "lang", "source", quality_rules.measures(docs["text"]).alias("m"))
+    limits = quality_rules.fences(quality_rules.cut(quality_rules.sketch(measured), "test-sketches"), 50).collect()
+    by_lang = {r.group.lang: r.fence.asDict() for r in limits}
+    for x in quality_rules.FENCES:
+        assert x == "lines" or len({round(f[x], 9) for f in by_lang.values()}) == len(by_lang) == 4, x
+    labels = dict(duckdb.sql(f"select doc_id, quality from '{SF_LABELS}/labels.parquet'").fetchall())
+    judged = [(labels[r.doc_id], r.kept) for r in result(spark, "op8", SF_LABELS) if r.doc_id in labels and not r.base_failed]
+    assert all(kept == bool(label) for label, kept in judged) and {x for x, _ in judged} == {0, 1}
+
+
+def test_op8_fences_scale_with_their_corpus(spark):
+    def fences(marks):
+        text = " ".join(f"word{i}" for i in range(80))
+        data = [(i, text + " #" * (marks * (1 + i % 5)), "en", "s") for i in range(200)]
+        df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
+        measured = df.select("doc_id", "lang", "source", quality_rules.measures(df["text"]).alias("m"))
+        return quality_rules.fences(quality_rules.cut(quality_rules.sketch(measured), "test-sketches")).first().fence.symbols
+
+    assert fences(0) < fences(5) < fences(15)
