@@ -253,7 +253,9 @@ def test_op8_fences_come_from_the_sketches(spark):
     limits = quality_rules.fences(quality_rules.cut(quality_rules.sketch(measured), "test-sketches"), 50).collect()
     by_lang = {r.group.lang: r.fence.asDict() for r in limits}
     for x in quality_rules.FENCES:
-        assert x == "lines" or len({round(f[x], 9) for f in by_lang.values()}) == len(by_lang) == 4, x
+        # languages with equal medians in bins of 2 % share the fences of measures that are mostly zero
+        least = 2 if x in ("lines", "repeats") else 4
+        assert len({round(f[x], 9) for f in by_lang.values()}) >= least and len(by_lang) == 4, x
     labels = dict(duckdb.sql(f"select doc_id, quality from '{SF_LABELS}/labels.parquet'").fetchall())
     judged = [(labels[r.doc_id], r.kept) for r in result(spark, "op8", SF_LABELS) if r.doc_id in labels and not r.base_failed]
     assert all(kept == bool(label) for label, kept in judged) and {x for x, _ in judged} == {0, 1}
