@@ -57,7 +57,7 @@ class Rule:
 RULES = (
     Rule("symbols", "n_symbols / word_chars", 8, 4),
     Rule("shouting", "n_upper / word_chars", 8, 4),
-    Rule("repeats", "n_repeat_words / n_words", 12, 6),
+    Rule("repeats", "n_repeat_words / n_words", 16, 6),
     Rule("lines", "n_dup_lines / n_lines", 4, 1),
     Rule("long_words", "word_chars / n_words", 8, 1, both=True),
 )
