@@ -22,7 +22,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-# fixed values: the patterns of the four kinds
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The patterns of the four kinds, written so that each is scanned in linear time: a number is tried at its first digit alone,
+# since a later one fails where the first did, and repetitions that nothing follows keep no way back.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+DOMAIN = re.compile(r"[A-Za-z0-9.-]*")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 RUN = re.compile(r"[^\x20\x09-\x0D]+")
 DIGITS = re.compile(r"[0-9]+")
@@ -66,26 +71,28 @@ def _is_phone(s: str) -> bool:
 
 
 def _emails(text: str):
-    """The pattern's matches. None of its characters is white space, so that only runs with an @ need a scan."""
+    """The matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, found from each @.
+
+    All starts in the run of characters before an @ share its domain, so that the first of them matches or none does.
+    """
     at, until = text.find("@"), 0
     while at >= 0:
-        start = at
-        while start > until and text[start - 1] not in _WHITE:
-            start -= 1
-        end = RUN.match(text, at).end()
-        for m in EMAIL.finditer(text, start, end):
-            yield m.start(), m.end()
-        until, at = end, text.find("@", end)
-
-
-_WHITE = " \t\n\x0b\x0c\r"
+        before = text[until:at]
+        start = until + len(before.rstrip(LOCAL))
+        name = DOMAIN.match(text, at + 1)[0].split("..", 1)[0].rstrip(".")
+        until = at + 1
+        if start < at and "." in name and name[0] != ".":
+            until += len(name)
+            yield start, until
+        at = text.find("@", at + 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end), sorted."""
     out = [(a, 0, b) for a, b in _emails(text)]
     if DIGITS.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if _is_ip(m[0])]
+        if "." in text:
+            out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if _is_ip(m[0])]
         out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if _is_card(m[0])]
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if _is_phone(m[0])]
@@ -122,6 +129,7 @@ def features(shapes: list[str], i: int) -> tuple[str, ...]:
 
 LONGEST = 8  # tokens in a span
 PAD = 2  # letter tokens on each side of a window
+ROWS, CELLS = 512, 1 << 15  # windows, and tokens with padding, that are decoded at once
 
 
 def labelled_table(rows: int = 600, seed: int = 11) -> list[tuple[str, list[str]]]:
@@ -173,38 +181,50 @@ class Field:
     def __init__(self, names: dict[str, int], emit: np.ndarray, step: np.ndarray):
         self.names, self.emit, self.step = names, emit, step
 
-    def ids(self, shapes: list[str]) -> list[list[int]]:
-        none = len(self.names)  # its weights are zero
-        return [[self.names.get(f, none) for f in features(shapes, i)] for i in range(len(shapes))]
+    def ids(self, shapes: list[str]) -> np.ndarray:
+        none, get = len(self.names), self.names.get  # the weights of none are zero
+        return np.fromiter((get(f, none) for i in range(len(shapes)) for f in features(shapes, i)), np.int32, 5 * len(shapes)).reshape(-1, 5)
 
-    def best(self, windows: list[list[list[int]]]) -> list[np.ndarray]:
-        """The likeliest labels of each window; windows of about the same length are decoded together."""
+    def best(self, windows: list[np.ndarray]) -> list[np.ndarray]:
+        """The likeliest labels of each window; windows of about the same length are decoded together, up to ROWS windows and CELLS tokens."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(windows)
         order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
-        for k in range(0, len(order), 512):
-            part = order[k : k + 512]
-            longest, sizes = len(windows[part[-1]]), np.array([len(windows[i]) for i in part])
-            ids = np.full((len(part), longest, 5), len(self.names))
-            for row, i in enumerate(part):
-                ids[row, : sizes[row]] = windows[i]
-            scores = self.emit[ids].sum(axis=2)
-            back = np.zeros((len(part), longest, len(LABELS)), np.int8)
-            at = scores[:, 0] + self.step[0]  # before a window stands a token outside
-            rows = np.arange(len(part))
-            ends = at.copy()
-            for t in range(1, longest):
+        while order:
+            rows = 1
+            while rows < min(ROWS, len(order)) and (rows + 1) * len(windows[order[-1]]) <= CELLS:
+                rows += 1
+            for i, labels in zip(order[-rows:], self._decoded([windows[i] for i in order[-rows:]])):
+                out[i] = labels
+            del order[-rows:]
+        return out
+
+    def _decoded(self, part: list[np.ndarray]) -> list[np.ndarray]:
+        sizes = np.array(list(map(len, part)))
+        n, longest = len(part), int(sizes.max())
+        back = np.zeros((n, longest, len(LABELS)), np.int8)
+        ends = at = None
+        for first in range(0, longest, CELLS):  # scores of a long window are made in pieces
+            width = min(CELLS, longest - first)
+            ids = np.full((n, width, 5), len(self.names), np.int32)
+            for row, w in enumerate(part):
+                piece = w[first : first + width]
+                ids[row, : len(piece)] = piece
+            scores = sum(self.emit[ids[:, :, f]] for f in range(5))
+            for t in range(first, first + width):
+                if not t:
+                    at = scores[:, 0] + self.step[0]  # before a window stands a token outside
+                    ends = at.copy()
+                    continue
                 paths = at[:, :, None] + self.step[None]
                 back[:, t] = paths.argmax(axis=1)
-                at = paths.max(axis=1) + scores[:, t]
+                at = paths.max(axis=1) + scores[:, t - first]
                 ends[sizes > t] = at[sizes > t]
-            label = (ends + self.step[:, 0]).argmax(axis=1)  # and after it as well
-            labels = np.zeros((len(part), longest), int)
-            for t in range(longest - 1, -1, -1):
-                labels[:, t] = label
-                label = np.where(t < sizes, back[rows, t, label] if t else label, label)
-            for row, i in enumerate(part):
-                out[i] = labels[row, : sizes[row]]
-        return out
+        label = (ends + self.step[:, 0]).argmax(axis=1)  # and after it as well
+        labels, rows = np.zeros((n, longest), np.int8), np.arange(n)
+        for t in range(longest - 1, -1, -1):
+            labels[:, t] = label
+            label = np.where(t < sizes, back[rows, t, label] if t else label, label)
+        return [labels[row, :size] for row, size in enumerate(sizes)]
 
 
 def letters_stay_outside(field: Field) -> bool:
@@ -263,31 +283,30 @@ def train(rows: int = 600, seed: int = 11, rounds: int = 120, l2: float = 0.02)
     return field
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
+def windows(text: str) -> Iterator[list[tuple[int, int]]]:
     """Token spans around everything that is not letters alone, PAD more tokens on each side, cut where windows do not meet.
 
     A line is a sequence of its own; one without digits, @ and brackets cannot hold a span that passes its check.
     """
-    out = []
     if not TRIGGER.search(text):
-        return out
+        return
     at = 0
     for line in text.split("\n"):
         if TRIGGER.search(line):
             tokens = [(at + m.start(), at + m.end()) for m in RUN.finditer(line)]
-            marked = [i for i, (a, b) in enumerate(tokens) if shape(text[a:b]) != "a"]
             first = last = -1
-            for i in marked:
+            for i, (a, b) in enumerate(tokens):
+                if shape(text[a:b]) == "a":
+                    continue
                 if first < 0:
                     first = i
                 elif i - last > 2 * PAD:
-                    out.append(tokens[max(0, first - PAD) : last + PAD + 1])
+                    yield tokens[max(0, first - PAD) : last + PAD + 1]
                     first = i
                 last = i
             if first >= 0:
-                out.append(tokens[max(0, first - PAD) : last + PAD + 1])
+                yield tokens[max(0, first - PAD) : last + PAD + 1]
         at += len(line) + 1
-    return out
 
 
 _NUMBER = re.compile(r"[0-9+().\x20/-]+").fullmatch
@@ -297,10 +316,27 @@ _CHECKS = (lambda s: "@" in s or bool(AT & set(s.split(" ")) and DOT & set(s.spl
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
     """What the field adds to the base spans of each text."""
-    places = [(d, w) for d, t in enumerate(texts) for w in windows(t)]
-    labels = field.best([field.ids([shape(texts[d][a:b]) for a, b in w]) for d, w in places])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    places: list[tuple[int, list[tuple[int, int]]]] = []
+    tokens = 0
+    for d, t in enumerate(texts):
+        for w in windows(t):
+            places.append((d, w))
+            tokens += len(w)
+            if tokens > 8 * CELLS:
+                _add(places, texts, base, field, out)
+                places, tokens = [], 0
+    _add(places, texts, base, field, out)
+    return out
+
+
+def _add(places: list, texts: list[str], base: list, field: Field, out: list) -> None:
+    """Adds to out what the field finds in the windows (number of the text, tokens) of places."""
+    labels = field.best([field.ids([shape(texts[d][a:b]) for a, b in w]) for d, w in places])
+    # base spans overlap where kinds do: beside their starts stand the largest ends so far
+    near = {d: ([a for a, _, _ in base[d]], list(accumulate((e for _, _, e in base[d]), max))) for d in {d for d, _ in places}}
     for (d, w), ys in zip(places, labels):
+        starts, ends = near[d]
         i = 0
         while i < len(w):
             if not ys[i]:
@@ -315,13 +351,13 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
                 start = w[i][0] + len(raw) - len(raw.lstrip(EDGE))
                 end = start + len(raw.strip(EDGE))
                 if start < end and _CHECKS[ys[i] - 1](texts[d][start:end]):
-                    if all(e <= start or s >= end for s, _, e in base[d]):
+                    before = bisect_left(starts, end)  # base spans that begin before the end
+                    if not before or ends[before - 1] <= start:
                         out[d].append((start, int(ys[i]) - 1, end))
                     i = j
                     break
             else:
                 i += 1
-    return out
 
 
 def find(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:

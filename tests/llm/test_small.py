@@ -372,6 +372,38 @@ def test_pii_base_spans(spark, docs, empty):
     assert "@" not in hit.text and "555" not in hit.text and hit.n_chars == len(hit.text)
 
 
+def test_pii_scans_equal_the_patterns():
+    import random
+
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    checks = (lambda s: True, pii._is_ip, pii._is_card, pii._is_phone)
+    rnd = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(rnd.choices(rnd.choice(["a.@-", "a1.@ -+", "1. ", "12 -+().", "a@b.cé \n.1-_%+", "4716 2385-0", "0.25 1+"]), k=rnd.randint(1, 40)))
+        assert pii.base_spans(t) == sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, t) if checks[k](m[0])), t
+
+
+@pytest.mark.parametrize("unit", ["1", "a", "a@", "1.", "1-", "+1(", "a.", "@b."])
+def test_pii_long_runs_take_linear_time(unit):
+    import time
+
+    text = unit * (2_000_000 // len(unit)) + "@"
+    start = time.process_time()
+    pii.find([text, "call (743) 555-3824"], pii.train())
+    assert time.process_time() - start < 10
+
+
+def test_pii_windows_of_very_different_length():
+    """A long window among short ones is decoded alone, with the labels that it gets by itself."""
+    import numpy as np
+
+    field = pii.train()
+    rng = np.random.default_rng(2)
+    windows = [rng.integers(0, len(field.names), (n, 5)) for n in (3, 70_000, 1, 5, 40_000, 3)]
+    for w, together in zip(windows, field.best(windows)):
+        assert together.tolist() == field.best([w])[0].tolist()
+
+
 def test_pii_field():
     field = pii.train()
     assert pii.letters_stay_outside(field)
@@ -386,7 +418,7 @@ def test_pii_field():
         tokens = [(m.start(), m.end()) for m in pii.RUN.finditer(text)]
         whole = field.best([field.ids([pii.shape(text[a:b]) for a, b in tokens])])[0]
         marked = {tokens[i] for i in range(len(tokens)) if whole[i]}
-        parts = pii.windows(text)
+        parts = list(pii.windows(text))
         labels = field.best([field.ids([pii.shape(text[a:b]) for a, b in w]) for w in parts])
         assert marked == {t for w, ys in zip(parts, labels) for t, y in zip(w, ys) if y}
     base, every = pii.find(["call (743) 555-3824 or write jo [at] mail [dot] com, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" v 2.0"], field)[0]
@@ -400,7 +432,7 @@ def test_viterbi_is_the_best_path():
 
     rng = np.random.default_rng(1)
     field = pii.Field({f"f{i}": i for i in range(8)}, np.vstack([rng.normal(size=(8, 5)), np.zeros((1, 5))]), rng.normal(size=(5, 5)))
-    windows = [[rng.integers(0, 9, 5).tolist() for _ in range(n)] for n in (1, 2, 4, 3)]
+    windows = [rng.integers(0, 9, (n, 5)) for n in (1, 2, 4, 3)]
     for w, got in zip(windows, field.best(windows)):
         score = lambda path: sum(field.emit[w[i], y].sum() for i, y in enumerate(path)) + field.step[0, path[0]] + field.step[path[-1], 0] + sum(field.step[a, b] for a, b in itertools.pairwise(path))  # noqa: B023, E731
         assert tuple(got) == max(itertools.product(range(5), repeat=len(w)), key=score)
