@@ -238,7 +238,7 @@ def test_op9_added_spans():
     for text, (base, every) in zip(texts, pii.find(texts, field)):
         assert base == brute_base(text) and every == sorted({*base, *brute_added(text, base, field)}), text
         more += len(every) - len(base)
-    assert more > 100
+    assert more > 50
 
 
 def test_op10(spark, docs):
