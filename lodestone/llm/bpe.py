@@ -5,7 +5,8 @@ starts there. The encoder walks the piece, takes the longest match and accepts i
 match) is compatible, that is, if merging the two tokens' bytes by rank gives exactly these two tokens again. A
 sequence whose neighbours are all compatible is the BPE encoding, so an accepted walk is exact. A match that does not
 fit is replaced with the next shorter token of the same start; when there is none, the walk goes back one token. A
-position from which no walk can go on is marked and never entered again, which keeps the time linear in the piece.
+position from which no walk can go on is marked and never entered again, and a match is searched for within the length of
+the longest token, which keeps the time linear in the piece.
 
 Decoding. All tokens' bytes stand in one buffer; an offset table cuts it. A document's bytes are one numpy gather.
 
@@ -20,6 +21,7 @@ import json
 import re
 from collections.abc import Iterator
 from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Entries of a generation of a worker's memory, and pairs it remembers: about 100 MB together.
-CACHE, PAIRS = 150_000, 200_000
+#: Bytes of a generation of a worker's memory, the longest text it remembers, and pairs in the pair table.
+CACHE, LONGEST, PAIRS = 40 << 20, 48, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,22 +42,31 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Memory(dict):
-    """Results of a function by text, in two generations: what was not used since the last turn is forgotten at the next."""
+    """Results of a function by text, in two generations of bounded bytes: what was not used since the last turn is forgotten at the next.
+
+    Long texts are not remembered, since they hardly return.
+    """
 
     def __init__(self, make):
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, text: str) -> tuple[int, ...]:
+        if len(text) > LONGEST:
+            return self.make(text)
         ids = self.old.get(text)
         if ids is None:
             ids = self.make(text)
+        self.held += 100 + getsizeof(text) + getsizeof(ids)  # with its place in the dictionary
+        if self.held > CACHE:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
         self[text] = ids
         return ids
 
-    def turn(self) -> None:
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
+    def forget(self) -> None:
+        self.old, self.held = {}, 0
+        self.clear()
 
 
 class Vocabulary:
@@ -102,6 +113,7 @@ class Vocabulary:
         self.by_bytes = by_bytes
         self.pairs: dict[tuple[int, int], bool] = {}
         self.sizes = [len(t) for t in self.tokens]
+        self.reach = max(map(len, by_bytes))  # no match is longer
         self.pieces = _Memory(lambda piece: self.piece(piece.encode()))
         self.words = _Memory(self._word)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -110,6 +122,8 @@ class Vocabulary:
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a followed by those of b ends in exactly (a, b); remembered in the pair table."""
         if (known := self.pairs.get((a, b))) is None:
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
             known = self.pairs[a, b] = self._stays(a, b)
         return known
 
@@ -156,7 +170,7 @@ class Vocabulary:
 
     def _walk(self, text: str, out: list[int], at: int, token: int) -> tuple[int, ...]:
         """Goes on from the accepted tokens out, which end at byte at; token is the next to try there."""
-        n, pairs, sizes, shorter, longest = len(text), self.pairs, self.sizes, self.shorter, self.automaton.iter_long
+        n, pairs, sizes, shorter, longest, reach = len(text), self.pairs, self.sizes, self.shorter, self.automaton.iter_long, self.reach
         dead = bytearray(n + 1)
         while at < n:
             while token >= 0:
@@ -172,7 +186,7 @@ class Vocabulary:
                 out.append(token)
                 at = end
                 if at < n:
-                    token = next(longest(text, at))[1][1]
+                    token = next(longest(text[at : at + reach]))[1][1]  # the search costs as much as the string it is given
             else:
                 dead[at] = 1
                 if not out:
@@ -203,9 +217,8 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Frees what was remembered; called when a task ends, since an idle worker keeps its memory."""
-        for memory in (self.words, self.pieces):
-            memory.old = {}
-            memory.clear()
+        self.words.forget()
+        self.pieces.forget()
 
     def _pieces(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
@@ -227,10 +240,6 @@ class Vocabulary:
         """
         if _BLANKS.search(text):
             return self._pieces(text)
-        self.words.turn()
-        self.pieces.turn()
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
         first, *rest = text.split(" ")
         return chain(self._pieces(first), chain.from_iterable(map(self.words.__getitem__, rest)))
 
@@ -278,6 +287,14 @@ def broadcast_vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def id_range(path: str) -> tuple[int, dict[str, int]]:
+    """How many ids a tokenizer file's vocabulary spans, and its special tokens."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    special = {t["content"]: t["id"] for t in data["added_tokens"]}
+    return 1 + max(chain(data["model"]["vocab"].values(), special.values())), special
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -1,7 +1,7 @@
 """Token counts of documents in flat token files, by a separator scan (operator 5).
 
-A flat token file is a stream of little-endian ids (16 bits wide unless `width` says otherwise) in which every document is followed by an end-of-document id;
-it has no index. It is stored as numbered blocks of fixed size that do not respect documents. The scan reads each block
+A flat token file is a stream of little-endian ids, 16 bits wide or 32 if the vocabulary needs it, in which every document is
+followed by an end-of-document id; it has no index. It is stored as numbered blocks of fixed size that do not respect documents. The scan reads each block
 once, as one numpy comparison, and needs no block but its own: it gives the lengths of the documents that end in the
 block, the first of them without what lies in blocks before, and a summary (separators, ids before the first one, ids after
 the last one). A prefix scan over the summaries, about 40 bytes for each block, then gives every block the number of its
@@ -23,20 +23,27 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import cut, table
 
-END_OF_DOCUMENT = 50256
+END_OF_DOCUMENT = "<|endoftext|>"
 #: Ids in a block, and blocks in a run of the prefix scan.
 BLOCK, RUN = 1 << 16, 1024
-#: numpy type of an id in a file; "<u4" for vocabularies over 65,536.
-WIDTH = "<u2"
 
 
-def write_flat(docs: DataFrame, path: str | None = None, *, end: int = END_OF_DOCUMENT, block: int = BLOCK, width: str = WIDTH) -> tuple[DataFrame, DataFrame]:
+def layout(path: str | None = None, end: str = END_OF_DOCUMENT) -> tuple[int, str]:
+    """The separator's id and the numpy type of an id, from the vocabulary; an error if it has no such special token."""
+    size, special = bpe.id_range(path or bpe.default_path())
+    if end not in special:
+        raise ValueError(f"the vocabulary has no special token {end}")
+    return special[end], "<u2" if size <= 1 << 16 else "<u4"
+
+
+def write_flat(docs: DataFrame, path: str | None = None, *, end: str = END_OF_DOCUMENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Encodes documents into flat files, one for each partition; returns (blocks, names).
 
     blocks: file, block, ids (binary); names: file, doc, doc_id, the order in which the documents went in. Both are written
-    tables; file numbers are given by Spark's partitions, the same for a repeated task.
+    tables; file numbers are given by Spark's partitions, the same for a repeated task. `layout` tells how to read the ids.
     """
     spec = bpe.broadcast_vocabulary(docs.sparkSession, path or bpe.default_path())
+    separator, width = layout(path, end)
 
     def run(batches):
         vocab = bpe.worker_vocabulary(spec)
@@ -57,7 +64,7 @@ def write_flat(docs: DataFrame, path: str | None = None, *, end: int = END_OF_DO
             yield pa.RecordBatch.from_pylist([{"file": file, "docs": batch.column(0).to_pylist(), "first_doc": first_doc}], names)
             first_doc += len(batch)
             for t in batch.column(1):
-                waiting += [vocab.encode_ordinary(t.as_py()).astype(width), np.array([end], width)]
+                waiting += [vocab.encode_ordinary(t.as_py()).astype(width), np.array([separator], width)]
                 size += len(waiting[-2]) + 1
                 if size >= 16 * block:
                     yield pa.RecordBatch.from_pylist(list(flush(size % block)), names)
@@ -73,7 +80,7 @@ def write_flat(docs: DataFrame, path: str | None = None, *, end: int = END_OF_DO
     return written.filter("ids IS NOT NULL").select("file", "block", "ids"), names
 
 
-def scan(blocks: DataFrame, end: int = END_OF_DOCUMENT, width: str = WIDTH) -> DataFrame:
+def scan(blocks: DataFrame, end: int, width: str) -> DataFrame:
     """file, block, ends (lengths of the documents ending in the block, without what earlier blocks hold), n, head, tail for each block."""
 
     def run(batches):
@@ -110,8 +117,11 @@ def _prefix(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return summed.withColumns({"docs_before": F.coalesce(F.sum("n").over(before), F.lit(0)), "ids_before": _carried(order, "n", "tail")}).drop("__sum")
 
 
-def documents_in(blocks: DataFrame, end: int = END_OF_DOCUMENT, run: int = RUN, width: str = WIDTH) -> DataFrame:
-    """file, doc, n_tokens, closed for every document of every flat file."""
+def documents_in(blocks: DataFrame, end: int | None = None, run: int = RUN, width: str | None = None) -> DataFrame:
+    """file, doc, n_tokens, closed for every document of every flat file; end and width are those of the default vocabulary, unless given."""
+    if end is None or width is None:
+        usual = layout()
+        end, width = usual[0] if end is None else end, width or usual[1]
     found = cut(scan(blocks, end, width), "separators")
     small = found.select("file", "block", "n", "head", "tail", F.floor(F.col("block") / run).alias("run"))
     inside = _prefix(small, ["file", "run"], "block")

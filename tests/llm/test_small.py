@@ -81,6 +81,35 @@ def test_bpe_on_random_texts():
         assert vocab.decode(ids) == t
 
 
+@pytest.mark.parametrize("unit", ["ab", "a1", "qzx", "\u4e00\u9fa5", "!?", " "])
+def test_bpe_long_pieces(unit):
+    """One piece of many characters equals the library, and takes time in proportion."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    vocab = bpe.Vocabulary(open(bpe.default_path(), encoding="utf-8").read())
+    text = unit * 5000
+    assert vocab.encode(text).tolist() == Tokenizer.from_file(bpe.default_path()).encode(text, add_special_tokens=False).ids
+    start = time.process_time()
+    vocab.encode(unit * (600_000 // len(unit.encode())))
+    assert time.process_time() - start < 6
+
+
+def test_bpe_memory_is_bounded_by_bytes():
+    import random
+    import string
+
+    vocab, rnd = bpe.Vocabulary(open(bpe.default_path(), encoding="utf-8").read()), random.Random(1)
+    for size in (2000, 30):
+        vocab.encode(" ".join("".join(rnd.choices(string.ascii_letters, k=size)) for _ in range(40_000 if size < 100 else 500)))
+        assert all(len(w) <= bpe.LONGEST for w in vocab.words)
+    held = vocab.words.held
+    assert 0 < held == sum(100 + bpe.getsizeof(k) + bpe.getsizeof(v) for k, v in vocab.words.items()) <= bpe.CACHE
+    vocab.words.held = bpe.CACHE
+    assert vocab.encode("another word") is not None and len(vocab.words) < 5 and len(vocab.words.old) > 1000
+
+
 def brute_components(fps, radius):
     ids = [i for i, _ in fps]
     root = list(range(len(ids)))
@@ -305,6 +334,26 @@ def test_token_counts(spark, docs, empty):
     assert token_counts.documents_in(blocks).count() == 0
 
 
+def test_token_width_follows_the_vocabulary(spark, tmp_path):
+    """A vocabulary beyond 16 bits gets wide ids; one without the separator is an error."""
+    import json
+
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    assert token_counts.layout() == (50256, "<u2")
+    spec["added_tokens"] = [dict(spec["added_tokens"][0], id=70_000)]
+    spec["model"]["vocab"] = {k: v for k, v in spec["model"]["vocab"].items() if k != "<|endoftext|>"}
+    wide = str(tmp_path / "wide.json")
+    json.dump(spec, open(wide, "w", encoding="utf-8"))
+    assert token_counts.layout(wide) == (70_000, "<u4")
+    blocks, names = token_counts.write_flat(spark.createDataFrame([(1, "two words"), (2, ""), (3, "more of them")], "doc_id bigint, text string"), wide, block=2)
+    found = token_counts.documents_in(blocks, 70_000, width="<u4").join(names, ["file", "doc"])
+    assert sorted((r.doc_id, r.n_tokens) for r in found.collect()) == [(1, 2), (2, 0), (3, 3)]
+    with pytest.raises(ValueError):
+        token_counts.layout(end="<none>")
+
+
 def test_token_scan_of_a_file_that_was_cut_off(spark):
     import numpy as np
 
