@@ -9,6 +9,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,35 +41,46 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIRS[app]}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later stages survive lost executors without recomputing it."""
+    """Writes df to the shared folder and reads it again: later stages survive lost executors without recomputing it.
+
+    The folder is deleted when the application ends; `working_tables` tells who may delete tables before.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    folder = shared_dir(spark)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    files, at = _file_system(spark, folder)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    _WRITTEN.get([]).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SCOPES: list[list[str]] = []
+_WRITTEN: ContextVar[list[str]] = ContextVar("written")
 
 
 @contextmanager
 def working_tables() -> Iterator[list[str]]:
-    """The paths of the tables that cut() writes inside the block."""
-    _SCOPES.append([])
+    """The paths of the tables that cut() writes inside the block; they belong to the caller, who knows when no lazy result needs them."""
+    token = _WRITTEN.set([])
     try:
-        yield _SCOPES[-1]
+        yield _WRITTEN.get()
     finally:
-        _SCOPES.pop()
+        _WRITTEN.reset(token)
 
 
 def delete_tables(spark: SparkSession, paths: list[str]) -> None:
     """Deletes written tables; call it only when no lazy result needs one."""
-    jvm = spark.sparkContext._jvm
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, at = _file_system(spark, p)
+        files.delete(at, True)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -316,10 +316,23 @@ def test_chat_collapse(spark):
     out = {(r.conv_id, r.segment): (r.n_turns, r.rendered) for r in chat.format_conversations(df).collect()}
     assert out[2, 0] == (3, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nbye<|im_end|>\n")
     assert out[5, 0] == (2, "<|im_start|>user\n<|im_end|>\n<|im_start|>\n<|im_end|>\n")
-    assert out[8, 0][0] == 1 and out[8, 2][0] == 1 and out[None, 0][0] == 1
+    assert out[8, 0][0] == 2 and out[None, 0][0] == 1
     assert chat.format_conversations(df.filter("false")).count() == 0
 
 
+def test_chat_many_null_and_equal_turns(spark):
+    """Rows without a conversation or with one turn number are rendered in segments too, in order, and each counts once."""
+    rows_ = spark.range(7000).select(F.when(F.col("id") < 3000, None).when(F.col("id") < 6000, 1).otherwise(2).alias("conv_id"), F.when(F.col("id") % 3 == 0, None).otherwise(5).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    got = chat.format_conversations(rows_.unionByName(rows_).repartition(9)).collect()
+    assert max(r.n_turns for r in got) == 1024
+    for conv, low, high in ((None, 0, 3000), (1, 3000, 6000), (2, 6000, 7000)):
+        ids = range(low, high)
+        want = sorted(f"t{i}" for i in ids if i % 3 == 0) + sorted(f"t{i}" for i in ids if i % 3)
+        parts = sorted((r.segment, r.rendered) for r in got if r.conv_id == conv)
+        assert [s for s, _ in parts] == list(range(-(-len(want) // 1024)))
+        assert "".join(x for _, x in parts) == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in want)
+
+
 def test_token_counts(spark, docs, empty):
     vocab = bpe.Vocabulary(open(bpe.default_path(), encoding="utf-8").read())
     want = sorted(((r.doc_id, len(vocab.encode_ordinary(r.text))) for r in docs.collect()), key=str)
