@@ -264,7 +264,7 @@ def test_op10(spark, docs):
 
 
 def test_pipeline(spark, docs, tmp_path):
-    """All stages against brute force, on whole documents without borderline pairs."""
+    """All stages against brute force."""
     from tokenizers import Tokenizer
 
     import corpus_pipeline
@@ -289,13 +289,10 @@ def test_pipeline(spark, docs, tmp_path):
             x = root[x]
         return x
 
-    unsure = set()
     for a in left:
         for b in left:
             if a < b and (both := len(sets[a] & sets[b])):
                 j = both / len(sets[a] | sets[b])
-                if 0.7 < j < 0.9:
-                    unsure |= {a, b}
                 if j >= 0.8:
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
@@ -310,8 +307,7 @@ def test_pipeline(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decodes"]
     got = {r.doc_id: (r.n_chars, tuple(r.ids)) for r in out.collect()}
-    sure = lambda rows: {d: v for d, v in rows.items() if d not in unsure}
-    assert sure(got) == sure(want) and len(sure(want)) > 50
+    assert got == want and len(want) > 50
     assert out.filter("not decodes or n_tokens <> size(ids)").count() == 0
 
 
@@ -339,3 +335,66 @@ def test_op8_fences_scale_with_their_corpus(spark):
         return quality_rules.fences(quality_rules.cut(quality_rules.sketch(measured), "test-sketches")).first().fence.symbols
 
     assert fences(0) < fences(5) < fences(15)
+
+
+def test_pipeline_stages_do_not_know_of_each_other(spark):
+    """A stage's lazy result stays readable when the stage is applied to another input."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES:
+        a = apply(spark, docs.filter("doc_id < 120"), SF)
+        b = apply(spark, docs.filter("doc_id >= 120"), SF)
+        assert a.count() > 0 and b.count() > 0 and a.count() <= 120, name
+
+
+def test_pipeline_run_deletes_what_it_no_longer_needs(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from lodestone.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("stage-bpe") and out.count() > 50
+
+
+@pytest.fixture()
+def small_sf(spark, tmp_path):
+    """Documents with nulls, repeated rows, copies and clashing columns; a benchmark with nulls."""
+    good = " ".join(f"alpha{i} beta{i * 7 % 31}" for i in range(60))
+    other = " ".join(f"gamma{i} delta{i * 5 % 29}" for i in range(60))
+    item = " ".join(f"item{i}" for i in range(40))
+    rows = [(i, t, "en", "s", len(t or ""), "k") for i, t in enumerate([None, "", "  ", "short", good, good, good + " end", other, other + " " + item, other + " mail jo@example.org now"])]
+    rows += [(4, good, "en", "s", len(good), "k"), (None, good, None, None, None, None), (None, " ".join(f"lone{i}" for i in range(70)), None, None, 3, None)]
+    sf = str(tmp_path)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `row` string")
+    df = df.selectExpr("*", "1 as node", "2 as key", "'x' as m", "3 as verdict", "4 as rid", "5 as `group`", "6 as ids", "7 as `__salt`", "8 as `odd.name`")
+    df.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    return sf
+
+
+def test_pipeline_defined_cases(spark, small_sf):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, small_sf)
+    rest = ["doc_id", "lang", "source", "n_chars", "row", "node", "key", "m", "verdict", "rid", "group", "__salt", "odd.name"]
+    assert out.columns == [*rest, "n_tokens", "ids", "decodes"]
+    # 4, 5, 6 and a row without an id are near copies; 9 is one of 7 and 8 holds the benchmark's item
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [4, 7, None]
+    assert out.filter("m <> 'x' or rid <> 4 or `odd.name` <> 8 or not decodes").count() == 0
+
+
+def test_pipeline_empty_tables(spark, small_sf, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path / "empty")
+    docs = spark.read.parquet(f"{small_sf}/documents.parquet")
+    docs.filter("false").write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{small_sf}/benchmark.parquet").filter("false").write.parquet(f"{sf}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+    docs.write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    assert sorted((r.doc_id for r in corpus_pipeline.run(spark, sf).collect()), key=str) == [4, 7, 8, None]
