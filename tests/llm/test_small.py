@@ -513,8 +513,10 @@ def test_decontamination(spark, docs, empty):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 9]
     assert decontamination.matches(empty, benchmark).count() == 0
     assert decontamination.matches(df, benchmark.filter("false")).count() == 0
-    many = [b for b in decontamination.item_blocks(benchmark, max_items=1)]
+    many = [b for b in decontamination.item_blocks(benchmark, max_bytes=0)]
     assert len(many) == 4 and sum(bool(b.matches(item)) for b in many) == 2
+    named = benchmark.select(F.lit(None).cast("decimal(5,2)").alias("item_id"), "text")  # ids of any type, nulls too
+    assert decontamination.matches(df, named).filter("item_id is null").count() == len(got)
 
 
 def test_decontamination_behind_another_preamble(spark):
@@ -533,10 +535,10 @@ def test_decontamination_weights_do_not_depend_on_blocks(spark):
     template = [f"t{i}" for i in range(30)]
     items = [(i, " ".join([*template, *(f"own{i}w{j}" for j in range(20))])) for i in range(9)]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    weights = [{g: w for b in decontamination.item_blocks(benchmark, max_items=n) for g, w in b.weight.items()} for n in (4096, 2)]
+    weights = [{g: w for b in decontamination.item_blocks(benchmark, max_bytes=n) for x in b.sizes for g, w in zip(x.known.tolist(), x.weight.tolist())} for n in (1 << 20, 2)]
     assert weights[0] == weights[1] and set(weights[0].values()) == {1 / 9, 1.0}
     text = " ".join([*(f"x{j}" for j in range(30)), *(f"own4w{j}" for j in range(20))])
-    found = [[(i, round(s, 9)) for b in decontamination.item_blocks(benchmark, max_items=n) for i, _, _, s in b.matches(text)] for n in (4096, 2)]
+    found = [[(b.ids[i].as_py(), round(s, 9)) for b in decontamination.item_blocks(benchmark, max_bytes=n) for i, _, _, s in b.matches(text)] for n in (1 << 20, 2)]
     assert found[0] == found[1]
 
 
@@ -544,15 +546,35 @@ def test_multi_index_finds_all_within_the_radius():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    items = [(i, decontamination.shingles_of([f"w{i}_{j}".encode() for j in range(20)], 5)) for i in range(30)]
-    of = decontamination.Lengths(20, items, collections.defaultdict(lambda: 1.0), decontamination.RADIUS)
-    prints = of.prints[rng.integers(0, 30, 400)].copy()
-    for row in prints:
-        for b in rng.choice(64, rng.integers(0, 30), replace=False):
-            row[b // 8] ^= 1 << (b % 8)
-    distance = np.bitwise_count(prints[:, None] ^ of.prints[None]).sum(axis=2)
-    want = {(r, i) for r, i in zip(*np.nonzero(distance <= decontamination.RADIUS))}
-    assert {(r, i) for r, i, _ in of.candidates(prints, decontamination.RADIUS)} == want
+    stored = rng.integers(0, 1 << 64, 3000, np.uint64)
+    prints = stored[rng.integers(0, 3000, 400)].copy()
+    for i in range(len(prints)):
+        for b in rng.choice(64, rng.integers(0, 24), replace=False).tolist():
+            prints[i] ^= np.uint64(1 << b)
+    index = decontamination.MultiIndex(stored)
+    distance = np.bitwise_count(prints[:, None] ^ stored[None])
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(distance <= decontamination.RADIUS))))
+    row, item = index.within(prints)
+    assert set(zip(row.tolist(), item.tolist())) == want and len(row) == len(want)
+    # the index is selective: few pairs meet in a block beside those within the radius
+    met = {x for r, i in index.met(rng.integers(0, 1 << 64, 200, np.uint64)) for x in zip(r.tolist(), i.tolist())}
+    assert len(met) < 0.06 * 200 * 3000
+
+
+def test_decontamination_with_many_items_of_one_length():
+    """Items with a shared template in one block: each document holds its own items alone, equal items each match, and repeated shingles count as often as in both."""
+    rows_ = [(i, " ".join([*(f"t{j}" for j in range(12)), *(f"own{i}w{j}" for j in range(28))]), [4000] * 8 + [1] * 28) for i in range(4000)]
+    rows_ += [(5000 + k, "same words in each of these items once more", [3] * 5) for k in range(3)]
+    rows_ += [(6000, "a b c d e " * 4, [1] * 5)]
+    from pyspark.sql.types import LongType
+
+    index = decontamination.Index(rows_, LongType())
+    of = lambda text: {index.ids[i].as_py(): (first, round(s, 6)) for i, first, _, s in index.matches(text)}
+    assert of("x y z " + rows_[17][1] + " w") == {17: (3, 1.0)}
+    assert of(" ".join(rows_[17][1].split()[:12])) == {}
+    assert set(of(f"{rows_[5][1]} and {rows_[1234][1]}")) == {5, 1234}
+    assert set(of("the same words in each of these items once more or less")) == {5000, 5001, 5002}
+    assert of("a b c d e " * 9)[6000] == (0, 1.0) and of("a b c d e " * 2) == {}
 
 
 def test_quality_classifier(spark, docs, empty):
