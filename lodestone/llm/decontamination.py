@@ -16,7 +16,7 @@ a document holds one of their heaviest shingles, that make up just over 0.2 of t
 reaches 0.8, so no match is lost. Candidates are verified exactly, in all of their windows.
 
 Only windows with shingles of an item of their size are fingerprinted; the others' similarity is zero. The index is numpy
-arrays, about 7 times its items' texts. Items go to the workers in blocks of `BLOCK_BYTES` of text, each of which meets all
+arrays, about 8 times its items' texts. Items go to the workers in blocks of `BLOCK_BYTES` of text, each of which meets all
 documents (one pass over them for benchmarks up to that size); documents are never shuffled.
 
 Defined cases: null and empty texts and items match nothing; equal items each match; a repeated row is reported for each

@@ -590,6 +590,58 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.score(quality_classifier.described(empty), model).count() == 0
 
 
+def test_quality_classifier_equals_dense_formulas(spark):
+    """Scores against class covariances and log densities written out with matrix inverses and determinants."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    d = len(quality_classifier.STATISTICS)
+    y = (rng.random(400) < 0.7).astype(int)
+    x = rng.normal(size=(400, d)) @ rng.normal(size=(d, d)) * 0.3 + y[:, None] * 0.2
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "doc_id bigint, x array<double>, label int").repartition(5)
+    got = {r.doc_id: r.score for r in quality_classifier.score(df, quality_classifier.train(df)).collect()}
+    spread = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    common = sum((y == c).mean() * spread[c] for c in (0, 1))
+    logs = []
+    for c in (0, 1):
+        lean = max(0.2, d / (d + (y == c).sum()))
+        s = (1 - lean) * spread[c] + lean * common
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-4 * np.eye(d)
+        off = x - x[y == c].mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(s), off) - 0.5 * np.linalg.slogdet(s)[1])
+    odds = np.log((y == 1).mean() / (y == 0).mean()) + (logs[1] - logs[0]) / 3
+    want = 1 / (1 + np.exp(-odds))
+    assert max(abs(got[i] - want[i]) for i in range(400)) < 1e-9 and 0.05 < np.mean(list(got.values())) < 0.95
+
+
+def test_quality_statistics():
+    of = dict(zip(quality_classifier.STATISTICS, quality_classifier.statistics("One two!! two two\nOne two!! two two\n#x")))
+    share = lambda k, n: (k / (n + 20)) ** 0.5
+    import math
+
+    assert of["words"] == math.log1p(9) and of["dup_lines"] == share(1, 3) and of["repeated"] == share(4, 9)
+    assert of["same_next"] == share(2, 9) and of["mark_runs"] == share(2, 9) and of["symbols"] == share(1, 30) and of["marks"] == share(4, 30)
+    assert quality_classifier.statistics(None) == quality_classifier.statistics("")
+
+
+def brute_identify(text, model):
+    """Language, score and rejection from plain loops over the centroids."""
+    import math
+
+    import numpy as np
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, True
+    raw = b" " + b" ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).encode().split()) + b" "
+    counts = collections.Counter((int.from_bytes(raw[i : i + 2], "big") * 2654435761 & 0xFFFFFFFF) >> 20 for i in range(len(raw) - 1))
+    counts.update(4096 + ((int.from_bytes(raw[i : i + 3], "big") * 2246822519 & 0xFFFFFFFF) >> 20) for i in range(len(raw) - 2))
+    x = {k: math.log1p(n) * model.idf[k] for k, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    cosine = [sum(v / norm * float(c[k]) for k, v in x.items()) for c in model.centroids]
+    best = int(np.argmax(cosine))
+    return model.languages[best], cosine[best], 1 - cosine[best] > language_id.SLACK * model.radius[best]
+
+
 def test_language_id(spark, docs, empty):
     model = language_id.train(docs.filter("lang is not null"))
     got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
@@ -600,6 +652,30 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_language_id_equals_brute_force(spark):
+    """Predictions from plain loops; far texts are rejected, and of equal centroids the first language wins."""
+    import random
+
+    rnd = random.Random(6)
+    words_of = {"aa": ["the", "and", "with", "house", "water"], "bb": ["der", "und", "mit", "haus", "wasser"], "cc": ["una", "con", "casa", "agua", "sol"]}
+    texts = [(i, " ".join(rnd.choices(words_of[lang], k=40)) + rnd.choice([".", "!", " 12"]), lang) for i in range(120) for lang in words_of]
+    df = spark.createDataFrame([(3 * i + k, t, lang) for k, (i, t, lang) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    model = language_id.train(df, centroids=3)
+    assert model.languages == ["aa"] * 3 + ["bb"] * 3 + ["cc"] * 3
+    more = spark.createDataFrame([(-1, "zzqx wvkj qqxz jjwq " * 9), (-2, None), (-3, "12 34"), (-4, "é ½ 日本 the house"), (-5, texts[0][1])], "doc_id bigint, text string")
+    rows_ = df.select("doc_id", "text").unionByName(more)
+    got = {r.doc_id: r for r in language_id.identify(rows_, model).collect()}
+    for r in rows_.collect():
+        lang, score, far = brute_identify(r.text, model)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-5 and got[r.doc_id].rejected == far
+    assert got[-1].rejected and not got[-5].rejected
+    same = spark.createDataFrame([(i, "the same text for both", lang) for i, lang in enumerate(("yy", "xx"))], "doc_id bigint, text string, lang string")
+    tied = language_id.train(same)
+    assert {r.lang_pred for r in language_id.identify(same, tied).collect()} == {"xx"}
+    # of too many languages the most frequent are learned
+    assert set(language_id.train(df.unionByName(same), languages=3).languages) == {"aa", "bb", "cc"}
+
+
 def test_folds(spark, docs):
     from lodestone.llm.common import fold
 
