@@ -52,12 +52,7 @@ def _(d: Data) -> DataFrame:
     return d.local().select("key", c("v.value").alias("local_value")).join(d.remote().select("key", c("v.value").alias("remote_value")), "key", "full_outer")
 
 
-@query("j_parent_detail", "SELECT s.id, p.id AS product FROM suppliers s JOIN products p ON p.supplier = s.id WHERE s.id < 10", "suppliers products")
-def _(d: Data) -> DataFrame:
-    return d.suppliers().filter("id < 10").join(d.products().select(c("id").alias("product"), "supplier"), c("id") == c("supplier")).select("id", "product")
-
-
-@query("j_parent_detail_all", "SELECT s.id, p.id AS product FROM suppliers s JOIN products p ON p.supplier = s.id", "suppliers products")
+@query("j_parent_detail", "SELECT s.id, p.id AS product FROM suppliers s JOIN products p ON p.supplier = s.id", "suppliers products")
 def _(d: Data) -> DataFrame:
     return d.suppliers().join(d.products().select(c("id").alias("product"), "supplier"), c("id") == c("supplier")).select("id", "product")
 
@@ -139,7 +134,7 @@ def _(d: Data) -> DataFrame:
 
 @query("r11_orders", "SELECT order_id, CAST(sum(CAST(ordered AS DECIMAL(18,2)) * CAST(unit_cost AS DECIMAL(18,2))) AS DOUBLE) AS value, round(least(greatest(CAST(sum(received) AS DOUBLE) / sum(ordered), 0), 1), 6) AS progress FROM order_lines WHERE order_id IN (SELECT order_id FROM purchase_orders) GROUP BY order_id", "order_lines purchase_orders")
 def _(d: Data) -> DataFrame:
-    return r.order_totals(r.orders_with_lines(d.purchase_orders(), d.order_lines()))
+    return r.order_totals(d.purchase_orders(), d.order_lines())
 
 
 @query("r12_suppliers", "SELECT s.id, CAST(coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS DOUBLE) AS value, count(*) FILTER (status NOT IN ('received', 'cancelled')) AS active_orders FROM suppliers s LEFT JOIN purchase_orders o ON o.supplier = s.id GROUP BY s.id", "suppliers purchase_orders")
@@ -174,13 +169,7 @@ def _(d: Data) -> DataFrame:
     return _alerts(d)
 
 
-@query("r16_signed", "SELECT id, CASE WHEN type = 'in' THEN quantity ELSE -quantity END AS delta, greatest(20 + CASE WHEN type = 'in' THEN quantity ELSE -quantity END, 0) AS stock_after FROM movements WHERE product < 50", "movements")
-def _(d: Data) -> DataFrame:
-    delta = r.signed(c("type"), c("quantity"))
-    return d.movements().filter("product < 50").select("id", delta.alias("delta"), F.greatest(20 + delta, F.lit(0.0)).alias("stock_after"))
-
-
-@query("r16_signed_all", "SELECT id, CASE WHEN type = 'in' THEN quantity ELSE -quantity END AS delta, greatest(20 + CASE WHEN type = 'in' THEN quantity ELSE -quantity END, 0) AS stock_after FROM movements", "movements")
+@query("r16_signed", "SELECT id, CASE WHEN type = 'in' THEN quantity ELSE -quantity END AS delta, greatest(20 + CASE WHEN type = 'in' THEN quantity ELSE -quantity END, 0) AS stock_after FROM movements", "movements")
 def _(d: Data) -> DataFrame:
     delta = r.signed(c("type"), c("quantity"))
     return d.movements().select("id", delta.alias("delta"), F.greatest(20 + delta, F.lit(0.0)).alias("stock_after"))
@@ -208,23 +197,13 @@ def _(d: Data) -> DataFrame:
     return done.select("order_id", "status", F.aggregate("lines", F.lit(0.0), lambda a, l: a + l["received"]).alias("received"))
 
 
-@query("r21_ledger", "WITH RECURSIVE m AS (SELECT product, CAST(CASE WHEN type = 'in' THEN quantity ELSE -quantity END AS BIGINT) AS delta, row_number() OVER (PARTITION BY product ORDER BY ts, id, CASE WHEN type = 'in' THEN quantity ELSE -quantity END) AS k FROM movements WHERE product % 20 = 0), f(product, k, stock) AS (SELECT product, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM m WHERE k = 1 UNION ALL SELECT f.product, m.k, greatest(f.stock + m.delta, 0) FROM f JOIN m ON m.product = f.product AND m.k = f.k + 1) SELECT product, max(k) AS n, arg_max(stock, k) AS final_stock FROM f GROUP BY product", "movements")
-def _(d: Data) -> DataFrame:
-    return r.ledger(d.movements().filter("product % 20 = 0"))
-
-
-@query("r21_running", "SELECT id, product, CAST(sum(CASE WHEN type = 'in' THEN quantity ELSE -quantity END) OVER (PARTITION BY product ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM movements WHERE product < 200", "movements")
-def _(d: Data) -> DataFrame:
-    return r.running_stock(d.movements().filter("product < 200"))
-
-
 # stock with a floor at zero is the running sum less its least value so far, if that is negative: no recursion is needed
-@query("r21_ledger_all", "WITH s AS (SELECT product, ts, id, CAST(CASE WHEN type = 'in' THEN quantity ELSE -quantity END AS BIGINT) AS delta FROM movements), b AS (SELECT product, row_number() OVER w AS k, CAST(sum(delta) OVER w AS BIGINT) AS balance FROM s WINDOW w AS (PARTITION BY product ORDER BY ts, id, delta ROWS UNBOUNDED PRECEDING)) SELECT product, max(k) AS n, arg_max(balance, k) - least(min(balance), 0) AS final_stock FROM b GROUP BY product", "movements")
+@query("r21_ledger", "WITH s AS (SELECT product, ts, id, CAST(CASE WHEN type = 'in' THEN quantity ELSE -quantity END AS BIGINT) AS delta FROM movements), b AS (SELECT product, row_number() OVER w AS k, CAST(sum(delta) OVER w AS BIGINT) AS balance FROM s WINDOW w AS (PARTITION BY product ORDER BY ts, id, delta ROWS UNBOUNDED PRECEDING)) SELECT product, max(k) AS n, arg_max(balance, k) - least(min(balance), 0) AS final_stock FROM b GROUP BY product", "movements")
 def _(d: Data) -> DataFrame:
     return r.ledger(d.movements())
 
 
-@query("r21_running_all", "SELECT id, product, CAST(sum(CASE WHEN type = 'in' THEN quantity ELSE -quantity END) OVER (PARTITION BY product ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM movements", "movements")
+@query("r21_running", "SELECT id, product, CAST(sum(CASE WHEN type = 'in' THEN quantity ELSE -quantity END) OVER (PARTITION BY product ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM movements", "movements")
 def _(d: Data) -> DataFrame:
     return r.running_stock(d.movements())
 
@@ -266,12 +245,7 @@ def _(d: Data) -> DataFrame:
     return r.status_counts(d.purchase_orders(), ["draft", "ordered", "received", "cancelled"])
 
 
-@query("r29_sorted", f"SELECT id FROM products ORDER BY {COST} DESC, id LIMIT 25", "products")
-def _(d: Data) -> DataFrame:
-    return r.sorted_products(d.products(), "value", True).limit(25).select("id")
-
-
-@query("r29_sorted_all", f"SELECT id, row_number() OVER (ORDER BY {COST} DESC, id) - 1 AS place FROM products", "products")
+@query("r29_sorted", f"SELECT id, row_number() OVER (ORDER BY {COST} DESC, id) - 1 AS place FROM products", "products")
 def _(d: Data) -> DataFrame:
     return placed(r.sorted_products(d.products(), "value", True).select("id"))
 
