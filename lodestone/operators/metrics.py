@@ -81,7 +81,7 @@ def statistics(writes: DataFrame, original: str, stored: str) -> DataFrame:
 
 
 def health(stats: DataFrame) -> DataFrame:
-    """(code, severity) for a row of cache_capacity, reads, hit_ratio, indexed, writes, compression_ratio, algorithm, entries."""
+    """Rules, thresholds and codes. (code, severity) for a row of cache_capacity, reads, hit_ratio, indexed, writes, compression_ratio, algorithm, entries."""
     c = F.col
     busy = (c("cache_capacity") > 0) & (c("reads") > 100)
     rules = [
@@ -105,6 +105,24 @@ def prometheus(counts: DataFrame, op: str, name: str) -> DataFrame:
     return lines.select(F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
 
 
+def exposition(log: DataFrame, op: str, us: str, is_error: Column, name: str, uptime_seconds: int) -> DataFrame:
+    """One row `text` with all metric families: operations, latency summaries, error rate, uptime. Operations are few."""
+    of = percentiles(log, op, us).withColumn("sum_us", F.floor("mean_us") * F.col("n"))
+    head = lambda family, text, kind: f"# HELP {name}_{family} {text}\n# TYPE {name}_{family} {kind}\n"
+    sample = lambda family, labels, value: F.format_string(f"{name}_{family}{{operation=\"%s\"{labels}}} %d", F.col(op), value)
+    counts = sample("operations_total", "", F.col("n"))
+    quantiles = [sample("latency_microseconds", f',quantile=\"{q}\"', F.col(p)) for q, p in (("0.5", "p50_us"), ("0.95", "p95_us"), ("0.99", "p99_us"))]
+    latency = F.concat_ws("\n", *quantiles, sample("latency_microseconds_sum", "", F.col("sum_us")), sample("latency_microseconds_count", "", F.col("n")))
+    lines = of.agg(F.sort_array(F.collect_list(F.struct(F.col(op).alias("op"), counts.alias("counts"), latency.alias("latency")))).alias("x"))
+    rate = log.agg(F.coalesce(F.count_if(is_error) / F.count("*"), F.lit(0.0)).alias("rate"))
+    both = lines.withColumn("one", F.lit(1)).join(rate.withColumn("one", F.lit(1)), "one")  # two one-row tables
+    block = lambda part: F.when(F.size("x") > 0, F.concat(F.array_join(F.transform("x", lambda e: e[part]), "\n"), F.lit("\n"))).otherwise("")
+    return both.select(F.concat(
+        F.lit(head("operations_total", "Total operations by type", "counter")), block("counts"), F.lit(head("latency_microseconds", "Operation latency", "summary")), block("latency"),
+        F.lit(head("error_rate", "Current error rate (0-1)", "gauge")), F.format_string(f"{name}_error_rate %.4f\n", "rate"), F.lit(head("uptime_seconds", "Uptime in seconds", "counter") + f"{name}_uptime_seconds {uptime_seconds}\n"),
+    ).alias("text"))
+
+
 def ring(log: DataFrame, size: int, ts: str, tie: str) -> DataFrame:
     """The last `size` entries: a top-k, which keeps `size` rows for each partition and never sorts the whole log."""
     return log.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(size)

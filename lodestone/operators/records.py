@@ -69,6 +69,34 @@ def run_chain(df: DataFrame, hooks: Iterable[Hook]) -> tuple[DataFrame, DataFram
     return marked.filter("rejected_by IS NULL").drop("rejected_by"), marked.filter("rejected_by IS NOT NULL")
 
 
+class Cancelled(Exception):
+    """A save that a hook cancelled; `by` counts the cancelled records of each hook."""
+
+    def __init__(self, by: dict[str, int]):
+        super().__init__("cancelled by " + ", ".join(f"{name} ({n})" for name, n in sorted(by.items())))
+        self.by = by
+
+
+def save_through(df: DataFrame, hooks: Iterable[Hook]) -> DataFrame:
+    """The records as the hooks leave them. A cancelled record is an error: nothing of the table is saved then."""
+    passed, rejected = run_chain(df, hooks)
+    by = {r["rejected_by"]: r["n"] for r in rejected.groupBy("rejected_by").agg(F.count("*").alias("n")).collect()}  # a row for each hook
+    if by:
+        raise Cancelled(by)
+    return passed
+
+
+def get_through(df: DataFrame, hooks: Iterable[Hook], key: str = "key") -> DataFrame:
+    """Every record; those whose reading a hook cancels have nulls beside their key."""
+    hidden = run_chain(df, hooks)
+    return hidden[0].unionByName(hidden[1].select(*(F.col(x) if x == key else F.lit(None).cast(df.schema[x].dataType).alias(x) for x in hidden[0].columns)))
+
+
+def delete_through(df: DataFrame, gone: DataFrame, hooks: Iterable[Hook], key: str = "key") -> DataFrame:
+    """The records left after a deletion; keys whose deletion a hook cancels stay, without an error."""
+    return df.join(run_chain(gone, hooks)[0].select(key), key, "left_anti")
+
+
 def observed(df: DataFrame, name: str, *metrics: Column) -> DataFrame:
     """Row counts and other aggregates of a plan, taken while it runs."""
     log.debug("observing %s", name)

@@ -40,8 +40,9 @@ def modulo(key: Column, shards: int) -> Column:
     # a character above U+FFFF is two units, which sum up to 0xD800 + 0xDC00 plus both halves of the offset
     units = lambda c: F.when(c < 0x10000, c).otherwise(F.lit(0xD800 + 0xDC00) + F.shiftright(c - 0x10000, 10) + (c - 0x10000).bitwiseAND(F.lit(0x3FF)))
     total = F.aggregate(_code_points(key), F.lit(0).cast("long"), lambda a, c: a + units(c))
-    number = F.when(digits != "", digits.cast("decimal(38,0)"))
-    return F.coalesce((number % shards).cast("int"), (total % shards).cast("int"))
+    # digit by digit, since a number may have any length
+    rest = F.aggregate(_code_points(digits), F.lit(0).cast("long"), lambda a, c: (a * 10 + (c - 48)) % shards)
+    return F.when(digits != "", rest).otherwise(total % shards).cast("int")
 
 
 def with_shard(df: DataFrame, key: str, shards: int, router: Router = hashed, name: str = "shard") -> DataFrame:
@@ -49,8 +50,11 @@ def with_shard(df: DataFrame, key: str, shards: int, router: Router = hashed, na
 
 
 def write_sharded(df: DataFrame, path: str, shard: str = "shard") -> None:
-    """One folder for each shard; a reader with a condition on the shard reads only that folder."""
-    df.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
+    """One folder for each shard; a reader with a condition on the shard reads only that folder.
+
+    Rows are rebalanced by shard: small shards share a task, and large ones are split into tasks of the advisory size.
+    """
+    df.hint("rebalance", F.col(shard)).write.mode("overwrite").partitionBy(shard).parquet(path)
 
 
 def get(sharded: DataFrame, key: str, value: str, shards: int, router: Router = hashed, shard: str = "shard") -> DataFrame:

@@ -1,18 +1,19 @@
-"""Token search. The index is a derived DataFrame, so it is never stale; a persisted one is used where it is passed."""
+"""Token search: over texts in one pass, over a derived index, and over a kept one (`TokenIndex`) that is updated in place."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DIACRITICS, MIN_LENGTH, TATWEEL, normalise_query, query_tokens, tokens
+from ..functions.text import DIACRITICS, MIN_LENGTH, SEPARATORS, TATWEEL, normalise_query, query_tokens, tokens
 
 
 def postings(records: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """(token, key), one row for each token of each record. Write it partitioned by token to make an access path of it."""
+    """(token, key), one row for each token of each record."""
     return records.select(F.explode(tokens(F.col(text), **options)).alias("token"), F.col(key).alias("key"))
 
 
@@ -38,13 +39,15 @@ _TESTS = {"all": matches_all, "any": matches_any, "prefix": matches_prefix}
 
 
 def may_match(text: Column, query: str, how: str) -> Column:
-    """False only for texts that cannot match: those without the search's tokens as plain substrings. Marks that
+    """False only for texts that cannot match: those without the search's tokens between separators. Marks that
     normalisation drops could hide one, so texts with such marks pass.
     """
     wanted = [normalise_query(query)] if how == "prefix" else query_tokens(query)
     if not any(wanted):
         return F.lit(False)
-    held = [F.lower(text).contains(t) for t in wanted if t]
+    # a token stands between separators; a prefix only behind one
+    inside = SEPARATORS.replace("[^", "[").removesuffix("+")
+    held = [F.lower(text).rlike(f"(?<!{inside}){re.escape(t)}" + ("" if how == "prefix" else f"(?!{inside})")) for t in wanted if t]
     return reduce(and_ if how == "all" else or_, held) | text.rlike(f"{DIACRITICS}|{TATWEEL}")
 
 
@@ -70,15 +73,27 @@ def records_of(records: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return records.join(keys.withColumnRenamed("key", key), key, "left_semi")
 
 
-def index_statistics(index: DataFrame) -> DataFrame:
-    """One row: entries, keywords, keywords per entry, and the estimated bytes of an in-memory index of the same content."""
-    by_token = index.groupBy("token").agg(F.count("*").alias("n")).agg(F.count("*").alias("keywords"), F.sum(F.char_length("token") * 2 + F.col("n") * 32).alias("b"))
-    by_key = index.groupBy("key").agg(F.count("*").alias("n")).agg(F.count("*").alias("entries"), F.sum("n").alias("pairs"), F.sum(F.char_length("key") * 2 + F.col("n") * 20).alias("c"))
+def _statistics(by_token: DataFrame, by_key: DataFrame) -> DataFrame:
+    """From (token, n) and (key, n)."""
+    words = by_token.agg(F.count("*").alias("keywords"), F.sum(F.char_length("token") * 2 + F.col("n") * 32).alias("b"))
+    keys = by_key.agg(F.count("*").alias("entries"), F.sum("n").alias("pairs"), F.sum(F.char_length("key") * 2 + F.col("n") * 20).alias("c"))
     # two one-row tables meet on a constant
-    both = by_token.withColumn("one", F.lit(1)).join(by_key.withColumn("one", F.lit(1)), "one")
+    both = words.withColumn("one", F.lit(1)).join(keys.withColumn("one", F.lit(1)), "one")
     return both.select("entries", "keywords", F.when(F.col("entries") > 0, F.col("pairs") / F.col("entries")).otherwise(0.0).alias("keywords_per_entry"), F.coalesce(F.col("b") + F.col("c"), F.lit(0)).alias("memory_bytes"))
 
 
+def index_statistics(index: DataFrame) -> DataFrame:
+    """One row: entries, keywords, keywords per entry, and the estimated bytes of an in-memory index of the same content."""
+    return _statistics(index.groupBy("token").agg(F.count("*").alias("n")), index.groupBy("key").agg(F.count("*").alias("n")))
+
+
+def record_statistics(records: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """index_statistics of the records' index. Distinct keys are taken for granted: a record's postings are counted where it lies, and only tokens are shuffled."""
+    found = tokens(F.col(text), **options)
+    by_key = records.select(F.col(key).cast("string").alias("key"), F.size(found).alias("n")).filter("n > 0")
+    return _statistics(records.select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("n")), by_key)
+
+
 def dump(index: DataFrame, most: int = 20) -> DataFrame:
     """The first tokens in order, with the number of keys of each."""
     return index.groupBy("token").agg(F.count_distinct("key").alias("n_keys")).orderBy("token").limit(most)
@@ -91,3 +106,70 @@ def search_modules(modules: dict[str, tuple[DataFrame, str, str]], query: str, h
         part = search(records, text, query, how).select(F.lit(name).alias("module"), F.col(key).cast("string").alias("key"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+class TokenIndex:
+    """A kept index of a keyed table, with records inserted, replaced and removed.
+
+    Postings lie in `buckets` folders by hash of the token, sorted by it, so that a search reads the folders of its tokens and
+    in them the row groups that can hold them. A change appends a generation: the postings of its records, and a row for each key that says
+    that older postings of the key no longer count. `rebuild` rewrites what counts as one generation. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, **options):
+        self.spark, self.root, self.buckets, self.options = spark, root.rstrip("/"), buckets, options
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def _postings(self) -> DataFrame:
+        return self._read("postings", "token string, key string, generation bigint, bucket int")
+
+    def _latest(self) -> DataFrame:
+        """(key, generation) of what counts."""
+        changes = self._read("changes", "key string, generation bigint, live boolean")
+        last = changes.groupBy("key").agg(F.max_by(F.struct("generation", "live"), "generation").alias("last"))
+        return last.filter("last.live").select("key", "last.generation")
+
+    def _generation(self) -> int:
+        return (self._read("changes", "key string, generation bigint, live boolean").agg(F.max("generation")).first()[0] or 0) + 1
+
+    def _append(self, found: DataFrame, changes: DataFrame) -> None:
+        bucket = F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int")
+        placed = found.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token")
+        placed.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/postings")
+        changes.write.mode("append").parquet(f"{self.root}/changes")  # the generation counts from here on
+
+    def insert(self, records: DataFrame, key: str, text: str) -> None:
+        """Adds records, or replaces those with the same keys; distinct keys are taken for granted."""
+        generation = F.lit(self._generation()).cast("bigint").alias("generation")
+        found = postings(records.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), "key", "text", **self.options)
+        self._append(found.select("token", "key", generation), records.select(F.col(key).cast("string").alias("key"), generation, F.lit(True).alias("live")))
+
+    def remove(self, keys: DataFrame, key: str = "key") -> None:
+        generation = F.lit(self._generation()).cast("bigint").alias("generation")
+        keys.select(F.col(key).cast("string").alias("key"), generation, F.lit(False).alias("live")).write.mode("append").parquet(f"{self.root}/changes")
+
+    def live(self) -> DataFrame:
+        """(token, key) of all postings that count."""
+        return self._postings().join(self._latest(), ["key", "generation"], "left_semi").select("token", "key")
+
+    def search(self, query: str, how: str = "all") -> DataFrame:
+        """(key) found; the buckets of the search's tokens are partition filters."""
+        hits = self._postings()
+        wanted = query_tokens(query)
+        if how != "prefix" and wanted:
+            at = self.spark.createDataFrame([(w,) for w in wanted], "token string").select(F.pmod(F.xxhash64("token"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()
+            hits = hits.filter(F.col("bucket").isin([r["b"] for r in at]) & F.col("token").isin(wanted))
+        elif how == "prefix":
+            hits = hits.filter(F.col("token").startswith(normalise_query(query)))
+        return search_keys(hits.join(self._latest(), ["key", "generation"], "left_semi").select("token", "key"), query, how)
+
+    def rebuild(self, to: str) -> TokenIndex:
+        """A new index at another place with what counts, as one generation."""
+        new = TokenIndex(self.spark, to, self.buckets, **self.options)
+        generation = F.lit(1).cast("bigint").alias("generation")
+        new._append(self.live().select("token", "key", generation), self._latest().select("key", generation, F.lit(True).alias("live")))
+        return new

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +78,14 @@ def receipt(wal: DataFrame) -> DataFrame:
 class Transaction:
     """Stages operations against a table of (key, value) and commits them as one new version.
 
-    A commit writes a whole new version folder and then renames a pointer file, so a reader sees the old version or the new
-    one. A failed commit leaves the old version, and may be tried again.
+    A commit writes a whole new version folder and then creates the next numbered pointer to it, so a reader sees the old
+    version or the new one. A number is created once only: of two commits at once one finds it taken, waits for the other's
+    version and applies its operations to that. A failed commit leaves the old version, and may be tried again. A pointer still
+    without content after WAIT seconds is one whose commit died.
     """
 
+    ATTEMPTS, WAIT = 10, 60.0
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.operations: list[tuple[int, str, str, str | None]] = []
@@ -90,19 +97,64 @@ class Transaction:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
-        """The current version's folder, from the greatest pointer name."""
+    def _pointers(self) -> list[int]:
         jvm, fs = self._fs()
         at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current")
-        if not fs.exists(at):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at))
-        return f"{self.root}/{names[-1].split('-', 1)[1]}" if names else None
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def version(self) -> str | None:
+        """The current version's folder, from the greatest pointer with content."""
+        folder = next(filter(None, map(self._folder, reversed(self._pointers()))), None)
+        return None if folder is None else f"{self.root}/{folder}"
+
+    def _folder(self, n: int) -> str:
+        jvm, fs = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current/{n:012d}"))
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _next(self) -> int:
+        """The number after the greatest pointer, once that has content."""
+        until = time.monotonic() + self.WAIT
+        while True:
+            last = max(self._pointers(), default=-1)
+            if last < 0 or self._folder(last) or time.monotonic() > until:
+                return last + 1
+            time.sleep(0.1)
 
     def base(self) -> DataFrame:
         at = self.version()
         return self.spark.createDataFrame([], "key string, value string") if at is None else self.spark.read.parquet(at)
 
+    def _point(self, n: int, folder: str) -> bool:
+        """Creates pointer n; False if it exists. Hadoop's local file system looks before it creates, so local files are made by an exclusive link."""
+        jvm, fs = self._fs()
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_current/{n:012d}")
+        if fs.getScheme() == "file":
+            fs.mkdirs(at.getParent())
+            local = fs.makeQualified(at).toUri().getPath()
+            part = f"{local.rsplit('/', 2)[0]}/{uuid.uuid4().hex}.pointer"
+            with open(part, "w", encoding="utf-8") as f:
+                f.write(folder)
+            try:
+                os.link(part, local)
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(part)
+            return True
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return True
+
     def _stage(self, key: str, op: str, value: str | None) -> None:
         if self.state != "open":
             raise RuntimeError(f"the transaction is {self.state}")
@@ -134,15 +186,16 @@ class Transaction:
     def commit(self) -> dict[str, int]:
         if self.state != "open":
             raise RuntimeError(f"the transaction is {self.state}")
-        folder = f"v-{uuid.uuid4().hex}"
-        self.read().write.parquet(f"{self.root}/{folder}")
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path
-        fs.mkdirs(path(f"{self.root}/_current"))
-        nth = len(fs.listStatus(path(f"{self.root}/_current")))
-        pending = path(f"{self.root}/{folder}.pointer")
-        fs.create(pending).close()
-        fs.rename(pending, path(f"{self.root}/_current/{nth:012d}-{folder}"))
+        for _ in range(self.ATTEMPTS):
+            n = self._next()  # before the base is read: a version that comes in between takes this number
+            folder = f"v-{uuid.uuid4().hex}"
+            self.read().write.parquet(f"{self.root}/{folder}")
+            if self._point(n, folder):
+                break
+            jvm, fs = self._fs()
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}"), True)
+        else:
+            raise RuntimeError("other commits kept coming in between")
         self.state = "committed"
         ops = [op for _, _, op, _ in self.operations]
         return {"writes": ops.count("write"), "deletes": ops.count("delete"), "operations": len(ops)}

@@ -131,6 +131,25 @@ def _(d: Data) -> DataFrame:
     return metrics.prometheus(d.log().groupBy("op").agg(F.count("*").alias("n")), "op", "store")
 
 
+BUCKET_CASE = "CASE " + " ".join(f"WHEN us <= {b} THEN {b}" for b in metrics.BOUNDS) + " END"
+AT = "CAST(coalesce(min(b) FILTER (upto >= ceil(total * {} / 100.0)), max(high)) AS BIGINT)"
+EXPOSED = f"""WITH b AS (SELECT op, {BUCKET_CASE} AS b, count(*) AS n, max(us) AS most FROM log GROUP BY 1, 2),
+u AS (SELECT op, b, sum(n) OVER (PARTITION BY op ORDER BY b NULLS LAST) AS upto, sum(n) OVER (PARTITION BY op) AS total, max(most) OVER (PARTITION BY op) AS high FROM b),
+q AS (SELECT op, {AT.format(50)} AS p50, {AT.format(95)} AS p95, {AT.format(99)} AS p99 FROM u GROUP BY op),
+s AS (SELECT op, count(*) AS n, CAST(floor(sum(us)::DOUBLE / count(*)) * count(*) AS BIGINT) AS total FROM log GROUP BY op),
+x AS (SELECT string_agg('store_operations_total{{operation="' || op || '"}} ' || n, chr(10) ORDER BY op) AS c,
+  string_agg('store_latency_microseconds{{operation="' || op || '",quantile="0.5"}} ' || p50 || chr(10) || 'store_latency_microseconds{{operation="' || op || '",quantile="0.95"}} ' || p95 || chr(10) || 'store_latency_microseconds{{operation="' || op || '",quantile="0.99"}} ' || p99 || chr(10)
+    || 'store_latency_microseconds_sum{{operation="' || op || '"}} ' || total || chr(10) || 'store_latency_microseconds_count{{operation="' || op || '"}} ' || n, chr(10) ORDER BY op) AS l FROM s JOIN q USING (op))
+SELECT '# HELP store_operations_total Total operations by type' || chr(10) || '# TYPE store_operations_total counter' || chr(10) || c || chr(10) || '# HELP store_latency_microseconds Operation latency' || chr(10) || '# TYPE store_latency_microseconds summary' || chr(10) || l || chr(10)
+  || '# HELP store_error_rate Current error rate (0-1)' || chr(10) || '# TYPE store_error_rate gauge' || chr(10) || 'store_error_rate ' || (SELECT printf('%.4f', count(*) FILTER (is_error)::DOUBLE / count(*)) FROM log) || chr(10)
+  || '# HELP store_uptime_seconds Uptime in seconds' || chr(10) || '# TYPE store_uptime_seconds counter' || chr(10) || 'store_uptime_seconds 42' || chr(10) AS text FROM x"""
+
+
+@query("s16_exposition", EXPOSED, "log")
+def _(d: Data) -> DataFrame:
+    return metrics.exposition(d.log(), "op", "us", c("is_error"), "store", 42)
+
+
 # --- routing ---
 
 DJB2 = "list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({0}, ''), lambda x: unicode(x)::BIGINT)), lambda a, x: xor((a * 33), x) & 2147483647)"
@@ -316,6 +335,17 @@ def _(d: Data) -> DataFrame:
     return passed.withColumn("rejected_by", F.lit(None).cast("string")).unionByName(rejected)
 
 
+@query("g1_get", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_name END AS c_name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal FROM customer")
+def _(d: Data) -> DataFrame:
+    return records.get_through(d.customer.select("c_custkey", "c_name", "c_acctbal"), [records.Hook(1, "solvent", allow=lambda df: c("c_acctbal") >= 0)], "c_custkey")
+
+
+@query("g1_delete", "SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0 OR c_custkey % 8 = 0")
+def _(d: Data) -> DataFrame:
+    customers = d.customer.select("c_custkey")
+    return records.delete_through(customers, customers.filter("c_custkey % 4 = 0"), [records.Hook(1, "locked", allow=lambda df: c("c_custkey") % 8 != 0)], "c_custkey")
+
+
 @query("g2_mask", "SELECT c_custkey, '***' AS c_name FROM customer")
 def _(d: Data) -> DataFrame:
     return records.mask(d.customer.select("c_custkey", "c_name"), ["c_name", "ssn"])
@@ -361,15 +391,17 @@ def _(d: Data) -> DataFrame:
     return d.documents.select("doc_id", codec.auto_flag(F.octet_length("text")).alias("flag"))
 
 
-@query("z1_roundtrip", "SELECT doc_id, sha256(text) AS digest FROM documents WHERE n_chars > 100")
+@query("z1_roundtrip", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def _(d: Data) -> DataFrame:
-    rows = d.documents.filter("n_chars > 100")
-    return rows.select("doc_id", F.sha2(codec.inflated(codec.deflated(c("text"))), 256).alias("digest"))
+    return d.documents.select("doc_id", F.sha2(codec.inflated(codec.deflated(c("text"))), 256).alias("digest"))
 
 
-@query("z1_roundtrip_all", "SELECT doc_id, sha256(text) AS digest FROM documents")
+@query("z1_codecs", "SELECT doc_id, sha256(text) AS digest, strlen(text) >= 4096 AS packed_large, true AS no_larger FROM documents")
 def _(d: Data) -> DataFrame:
-    return d.documents.select("doc_id", F.sha2(codec.inflated(codec.deflated(c("text"))), 256).alias("digest"))
+    packed = d.documents.select("doc_id", F.octet_length("text").alias("size"), codec.compressed(c("text"), codec.auto_flag(F.octet_length("text"))).alias("p"))
+    # prose of 4 kB and more always shrinks; a text that does not is kept as it is, and the flag says so
+    large = (c("size") >= 4096) & (c("p.flag") == codec.GZIP) & (F.octet_length("p.data") < c("size"))
+    return packed.select("doc_id", F.sha2(codec.decompressed(c("p.data"), c("p.flag")), 256).alias("digest"), large.alias("packed_large"), (F.octet_length("p.data") <= c("size")).alias("no_larger"))
 
 
 @query("z2_estimate", "SELECT doc_id, " + ", ".join(f"{_size_case('strlen(text)', k)} AS {k}" for k in codec.ESTIMATES) + " FROM documents")
@@ -384,6 +416,13 @@ def _(d: Data) -> DataFrame:
     return d.documents.select("doc_id", coded.alias("x")).select("doc_id", F.sha2(codec.decrypted(c("x"), key), 256).alias("digest"), F.octet_length("x").alias("size"))
 
 
+@query("z3_sealed", "SELECT doc_id, sha256(text) AS digest, CAST(strlen(text) + 44 AS INTEGER) AS size, true AS own_salt FROM documents")
+def _(d: Data) -> DataFrame:
+    key = F.lit(codec.derived_key("secret", b"0123456789abcdef", 1000))
+    twice = d.documents.select("doc_id", *(codec.sealed(c("text").cast("binary"), key).alias(x) for x in "xy"))
+    return twice.select("doc_id", F.sha2(codec.opened(c("x"), key), 256).alias("digest"), F.octet_length("x").alias("size"), (F.substring("x", 1, 16) != F.substring("y", 1, 16)).alias("own_salt"))
+
+
 @query("z4_cbc_rotated", "SELECT doc_id, sha256(text) AS digest, CAST(16 + (strlen(text) // 16 + 1) * 16 AS INTEGER) AS size FROM documents")
 def _(d: Data) -> DataFrame:
     old, new = (F.lit(codec.derived_key(p, b"0123456789abcdef", 1000)) for p in ("old", "new"))
@@ -448,10 +487,20 @@ def _(d: Data) -> DataFrame:
     return limits.token_bucket(slow, "user_id", "t", "event_id", 3, 1)
 
 
-@query("st9_composite", "WITH RECURSIVE r AS (SELECT op, t // 3600 AS t, row_number() OVER (PARTITION BY op ORDER BY t // 3600, event_id) AS k FROM log WHERE op IN ('view', 'click')), f(op, k, last, tokens, accepted) AS (SELECT op, k, t, CASE op WHEN 'view' THEN 1000000 ELSE 4000000 END::BIGINT, 1::BIGINT FROM r WHERE k = 1 UNION ALL SELECT r.op, r.k, r.t, least(CASE r.op WHEN 'view' THEN 2000000 ELSE 5000000 END, tokens + r.t - last) - CASE WHEN least(CASE r.op WHEN 'view' THEN 2000000 ELSE 5000000 END, tokens + r.t - last) >= 1000000 THEN 1000000 ELSE 0 END, accepted + CASE WHEN least(CASE r.op WHEN 'view' THEN 2000000 ELSE 5000000 END, tokens + r.t - last) >= 1000000 THEN 1 ELSE 0 END FROM f JOIN r ON r.op = f.op AND r.k = f.k + 1) SELECT op, max(k) AS requests, arg_max(accepted, k) AS accepted, max(k) - arg_max(accepted, k) AS violations FROM f GROUP BY op", "log")
+LIMITS = {"view": (2, 1), "click": (5, 1), "purchase": (3, 1), "signup": (4, 2), "error": (1, 1)}
+FULL, RATE = (f"CASE r.op {' '.join(f'WHEN {chr(39)}{op}{chr(39)} THEN {v[i] * unit}' for op, v in LIMITS.items())} END" for i, unit in ((0, 1_000_000), (1, 1)))
+REFILLED = f"least({FULL}, tokens + (r.t - last) * {RATE})"
+BUCKETS = f"WITH RECURSIVE r AS (SELECT op, t // 3600 AS t, event_id, row_number() OVER (PARTITION BY op ORDER BY t // 3600, event_id) AS k FROM log), f(op, k, t, event_id, last, tokens, ok) AS (SELECT op, k, t, event_id, t, ({FULL} - 1000000)::BIGINT, true FROM r WHERE k = 1 UNION ALL SELECT r.op, r.k, r.t, r.event_id, r.t, {REFILLED} - CASE WHEN {REFILLED} >= 1000000 THEN 1000000 ELSE 0 END, {REFILLED} >= 1000000 FROM f JOIN r ON r.op = f.op AND r.k = f.k + 1) "
+
+
+@query("st9_composite", BUCKETS + "SELECT op, count(*) AS requests, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS violations FROM f GROUP BY op", "log")
 def _(d: Data) -> DataFrame:
-    slow = d.log().withColumn("t", F.floor(c("t") / 3600))
-    return limits.composite(slow, "op", "t", "event_id", {"view": (2, 1), "click": (5, 1)})
+    return limits.composite(d.log().withColumn("t", F.floor(c("t") / 3600)), "op", "t", "event_id", LIMITS)
+
+
+@query("st9_violations", BUCKETS + "SELECT op, t, event_id AS o FROM f WHERE NOT ok ORDER BY t DESC, event_id DESC LIMIT 500", "log")
+def _(d: Data) -> DataFrame:
+    return limits.violations(d.log().withColumn("t", F.floor(c("t") / 3600)), "op", "t", "event_id", LIMITS)
 
 
 @query("st12_lru", "WITH RECURSIVE r AS (SELECT user_id, event_id % 5 AS i, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM log), f(user_id, k, kept, hits, evictions) AS (SELECT user_id, k, [i], 0::BIGINT, 0::BIGINT FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, list_append(list_filter(kept, lambda x: x <> r.i), r.i)[-3:], hits + CASE WHEN list_contains(kept, r.i) THEN 1 ELSE 0 END, evictions + CASE WHEN NOT list_contains(kept, r.i) AND len(kept) = 3 THEN 1 ELSE 0 END FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1) SELECT user_id, max(k) AS accesses, arg_max(hits, k) AS hits, arg_max(evictions, k) AS evictions FROM f GROUP BY user_id", "log")

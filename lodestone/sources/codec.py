@@ -63,6 +63,51 @@ def inflated(data: Column) -> Column:
     return unpack(data.cast("binary"))
 
 
+def _lz4(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "big") + pa.compress(raw, codec="lz4_raw", asbytes=True)
+
+
+def _gzip(raw: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
+
+
+#: flag -> (pack, unpack). LZ4 blocks do not know their size, which stands before them.
+_CODECS = {
+    GZIP: (_gzip, lambda raw: zlib.decompress(raw, 31)),
+    LZ4: (_lz4, lambda raw: pa.decompress(raw[4:], int.from_bytes(raw[:4], "big"), codec="lz4_raw", asbytes=True)),
+    DEFLATE: (zlib.compress, zlib.decompress),
+}
+
+
+def compressed(data: Column, flag: Column) -> Column:
+    """struct(flag, data): the data packed by the codec that a flag names, or as they are, with the flag NONE, where that is not smaller."""
+
+    @F.arrow_udf("struct<flag: int, data: binary>")
+    def pack(batch: pa.Array, flags: pa.Array) -> pa.Array:
+        kept, out = [], []
+        for x, f in zip(batch, flags):
+            raw, how = x.as_py(), f.as_py()
+            small = _CODECS[how][0](raw) if raw and how in _CODECS else raw
+            smaller = raw is not None and len(small) < len(raw)
+            kept.append(how if smaller else NONE)
+            out.append(small if smaller else raw)
+        return pa.StructArray.from_arrays([pa.array(kept, pa.int32()), pa.array(out, pa.binary())], ["flag", "data"])
+
+    return pack(data.cast("binary"), flag.cast("int"))
+
+
+def decompressed(data: Column, flag: Column) -> Column:
+    """The data that `compressed` packed; an unknown flag or broken data is an error."""
+
+    @F.arrow_udf("binary")
+    def unpack(batch: pa.Array, flags: pa.Array) -> pa.Array:
+        pairs = ((x.as_py(), f.as_py()) for x, f in zip(batch, flags))
+        return pa.array([raw if raw is None or how == NONE else _CODECS[how][1](raw) for raw, how in pairs], pa.binary())
+
+    return unpack(data.cast("binary"), flag.cast("int"))
+
+
 def framed(data: Column, compression: Column, encryption: Column) -> Column:
     """version, both flags, big-endian length, data, SHA-256 of the data; the compression flag is that of what is stored."""
     number = lambda c, digits: F.unhex(F.lpad(F.hex(c.cast("long")), digits, "0"))
@@ -92,6 +137,23 @@ def decrypted(data: Column, key: Column, mode: str = "GCM") -> Column:
     return F.aes_decrypt(data, key, F.lit(mode), F.lit("DEFAULT" if mode == "GCM" else "PKCS"))
 
 
+def _sub_key(master: Column, salt: Column) -> Column:
+    return F.unhex(F.sha2(F.concat(master, salt), 256))
+
+
+def sealed(data: Column, master: Column) -> Column:
+    """16 bytes of fresh salt, nonce, data and tag: each entry is encrypted with a key of its own, made from the master key and its salt."""
+    salt = F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit("")))
+    entry = F.struct(salt.alias("salt"), data.alias("data"))
+    # one salt for the key and the envelope
+    return F.transform(F.array(entry), lambda e: F.concat(e["salt"], encrypted(e["data"], _sub_key(master, e["salt"]))))[0]
+
+
+def opened(envelope: Column, master: Column) -> Column:
+    salt = F.substring(envelope, 1, 16)
+    return decrypted(F.substring(envelope, F.lit(17), F.octet_length(envelope) - 16), _sub_key(master, salt))
+
+
 def reencrypted(data: Column, old: Column, new: Column, mode: str = "GCM") -> Column:
     """Key rotation is a projection."""
     return encrypted(decrypted(data, old, mode), new, mode)
@@ -102,19 +164,34 @@ def rotation_due(created: Column, now: Column, max_days: int) -> Column:
     return F.coalesce(F.timestamp_diff("DAY", created, now) >= max_days, F.lit(False))
 
 
-def rotations(log: DataFrame, order: str, size: str, max_count: int, max_bytes: int, by: str) -> DataFrame:
-    """Rows of a write log after which a rotation is due, by count or by bytes since the start, per store (`by`)."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = log.withColumns({"n": F.count("*").over(w), "total": F.sum(size).over(w)})
+def rotations(log: DataFrame, order: str, size: str, max_count: int, max_bytes: int, by: str, piece: int = 100_000) -> DataFrame:
+    """Rows of a write log after which a rotation is due, by count or by bytes since the start, per store (`by`).
+
+    A store's log is counted in pieces, ranges of the numeric order, each on top of the totals of those before it.
+    """
+    cut = log.withColumn("__piece", F.floor(F.col(order) / piece))
+    before = Window.partitionBy(by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(by, "__piece").agg(F.count("*").alias("__n"), F.sum(size).alias("__total"))
+    starts = totals.select(F.col(by).alias("__by"), F.col("__piece").alias("__at"), *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("__n", "__total")))
+    w = Window.partitionBy(by, "__piece").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.withColumns({"n": F.count("*").over(w), "total": F.sum(size).over(w)})
+    met = inside.join(starts, F.col(by).eqNullSafe(F.col("__by")) & F.col("__piece").eqNullSafe(F.col("__at")))
+    marked = met.withColumns({"n": F.col("n") + F.col("__n"), "total": F.col("total") + F.col("__total")}).select(*log.columns, "n", "total")
     crossed = F.floor(F.col("total") / max_bytes) > F.floor((F.col("total") - F.col(size)) / max_bytes)
     return marked.filter((F.col("n") % max_count == 0) | crossed).withColumn("reason", F.when(F.col("n") % max_count == 0, "count").otherwise("bytes"))
 
 
-def archive(df: DataFrame, key: str, value: str, spread: int = 1, secret: Column | None = None) -> DataFrame:
+PART_BYTES = 64 << 20
+
+
+def archive(df: DataFrame, key: str, value: str, spread: int | None = None, secret: Column | None = None) -> DataFrame:
     """(part, archive): JSON maps of key to base64 payload, in `spread` parts by hash of the key, encrypted if there is a secret.
 
-    One part holds all its records in memory; give large tables as many parts as they have gigabytes, or write parquet.
+    One part holds all its records in memory; without `spread` there are as many as the payloads have PART_BYTES.
     """
+    if spread is None:
+        total = df.agg(F.sum(F.octet_length(F.col(value)) + F.octet_length(F.col(key).cast("string")))).first()[0]
+        spread = 1 + (total or 0) // PART_BYTES
     part = F.pmod(F.hash(key), F.lit(spread)).alias("part")
     pair = F.struct(F.col(key).alias("key"), F.base64(F.col(value).cast("binary")).alias("value"))
     packed = df.groupBy(part).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(pair)))).alias("archive"))

@@ -42,10 +42,10 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
 
 
 def purge_each_batch(records_path: str, ttl: DataFrame, now: Callable[[], object]) -> Callable[[DataFrame, int], None]:
-    """A sink that appends only the records that have not expired when the batch runs."""
+    """A sink that keeps only the records that have not expired when the batch runs, in a folder for each batch: one that is replayed replaces its rows."""
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, number: int) -> None:
         gone = ttl.filter(F.col("expire_at") < F.lit(now())).select("key")
-        batch.join(gone, "key", "left_anti").write.mode("append").parquet(records_path)
+        batch.join(gone, "key", "left_anti").write.mode("overwrite").parquet(f"{records_path}/batch={number}")
 
     return sink

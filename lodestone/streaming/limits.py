@@ -76,6 +76,28 @@ def composite(requests: DataFrame, op: str, time: str, order: str, limits: dict[
     return out.withColumn("violations", F.col("requests") - F.col("accepted"))
 
 
+def _ring_step(full: int, rate: int, most: int) -> Step:
+    def step(s: Column, r: Column) -> Column:
+        tokens = F.least(_long(full), s["tokens"] + (r["t"] - F.coalesce(s["last"], r["t"])) * rate)
+        ok = tokens >= UNIT
+        kept = F.slice(F.array_append(s["ring"], r), F.greatest(F.size(s["ring"]) + 2 - most, F.lit(1)), F.lit(most))
+        return F.struct(r["t"].cast("long").alias("last"), (tokens - F.when(ok, _long(UNIT)).otherwise(_long(0))).alias("tokens"), F.when(ok, s["ring"]).otherwise(kept).alias("ring"))
+
+    return step
+
+
+def violations(requests: DataFrame, op: str, time: str, order: str, limits: dict[str, tuple[int, int]], most: int = 500) -> DataFrame:
+    """(op, t, o) of the newest `most` rejected requests over all operations, newest first. Each operation's fold keeps as many at most."""
+    out = None
+    for name, (capacity, rate) in limits.items():
+        each = requests.filter(F.col(op) == name).groupBy(op).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o")))).alias("r"))
+        start = F.struct(F.lit(None).cast("long").alias("last"), _long(capacity * UNIT).alias("tokens"), F.array().cast(each.schema["r"].dataType).alias("ring"))
+        ring = F.aggregate("r", start, _ring_step(capacity * UNIT, rate, most))["ring"]
+        part = each.select(op, F.explode(ring).alias("v")).select(op, "v.t", "v.o")
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy(F.desc("t"), F.desc("o")).limit(most)
+
+
 class _Bucket(StatefulProcessor):
     """Token bucket of one key: the last time and the tokens, dropped after `idle_ms` without requests."""
 
