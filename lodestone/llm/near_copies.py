@@ -139,7 +139,7 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """rows (key, node, n and others) with the column bucket: keys of n > limit rows are dealt into chunks that share pivots."""
+    """rows (key, node, n and others) with the column bucket: keys of n > limit rows are dealt into chunks that share pivots; n counts only beyond the limit."""
     chunks = F.ceil(F.col("n") / max(1, limit - 2 * PIVOTS))
     own = F.array(F.pmod(F.xxhash64("node", key), chunks))
     pivot = F.pmod(F.xxhash64("node", F.lit(9)), F.ceil(F.col("n") / PIVOTS)) == 0
@@ -162,24 +162,31 @@ def _blocks(hot: DataFrame, limit: int) -> DataFrame:
     return pairs.select(F.xxhash64("group", F.least(at, "with"), F.greatest(at, "with")).alias("bucket"), "node")
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of nodes (node, keys), a written table of distinct nodes: (node, key) of all buckets, and (node, group) of nodes that share one."""
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(node, group) of the nodes that share a bucket, directly or through others, of nodes (node, keys), a written table of distinct nodes."""
     rows = nodes.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", "least")
     stars = rows.join(cut(shared, "buckets"), "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return rows, cut(components(stars).withColumnRenamed("root", "group"), "candidates")
+    return cut(components(stars).withColumnRenamed("root", "group"), "candidates")
 
 
-def links(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
-    """Links (a, b) between near copies among sets (node, group, n, shingles), a written table; rows are all buckets (node, key)."""
+def sized(groups: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(node, group, n): n is the group's size if that is above the limit, else 0. Large groups are few, so that a hot one need not be shuffled."""
+    large = groups.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    return groups.join(large, "group", "left").select("node", "group", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
+    """Links (a, b) between near copies among sets (node, group, n, shingles), a written table; nodes (node, keys) are all nodes."""
     out = _verified(_dealt(sets, "group", limit), similarity)
     large = sets.filter(F.col("n") > limit).select("node", "group")
     if large.isEmpty():
         return out
     out = cut(out, "group-links")
     parts = components(out).withColumnRenamed("root", "part")
-    large = cut(large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
-    met = rows.join(large, "node")
+    # buckets are unfolded behind the joins, which see a node once
+    large = cut(large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")).join(nodes.select("node", "keys"), "node"), "parts")
+    met = large.select("group", "node", "part", F.explode("keys").alias("key"))
     open_ = met.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     met = cut(met.join(open_.select("key", "n"), "key"), "open")
     whole = met.filter(F.col("n") <= limit).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
@@ -187,7 +194,8 @@ def links(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, limi
     hot = cut(met.filter(F.col("n") > limit).select("group", "node", "part").distinct(), "hot")
     if not hot.isEmpty():
         members = members.unionByName(_blocks(hot, limit))
-    return out.unionByName(_verified(members.join(sets.select("node", "shingles"), "node"), similarity))
+    buckets = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    return out.unionByName(_verified(buckets.join(sets.select("node", "shingles"), "node").select("node", "shingles", F.explode("buckets").alias("bucket")), similarity))
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
@@ -197,10 +205,9 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LI
     packed = cut(packed, "sketched")  # from here on a row keeps its number
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
     nodes = cut(packed.groupBy("s.node").agg(first, F.first("s.keys").alias("keys")), "nodes")
-    rows, groups = candidates(nodes)
-    sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
-    texts = packed.select("rid", F.col("row.text").alias("text")).join(nodes.select("node", "first.rid").join(sized, "node"), "rid")
+    groups = sized(candidates(nodes), limit)
+    texts = packed.select("rid", F.col("row.text").alias("text")).join(nodes.select("node", "first.rid").join(groups, "node"), "rid")
     sets = cut(texts.select("node", "group", "n", shingled(F.col("text")).alias("shingles")), "shingles")
-    roots = cut(components(links(rows, sets, similarity, limit)), "roots")
+    roots = cut(components(links(nodes, sets, similarity, limit)), "roots")
     grouped = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return packed.join(grouped.select("first.rid"), "rid", "left_semi").select(*(F.col(f"row.`{c}`") for c in names))
