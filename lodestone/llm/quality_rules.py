@@ -149,9 +149,13 @@ def fences(sketches: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     return joined.select(F.struct("lang", "source").alias("group"), F.struct(*(F.when(F.col("rows") >= min_rows, F.col(x)).otherwise(F.col(f"lang {x}")).alias(x) for x in FENCES)).alias("fence"))
 
 
-def judged(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The measured rows (a written table with lang, source and m) with base_failed and kept, in columns of the struct `verdict`."""
-    limits = cut(fences(cut(sketch(measured), "sketches"), min_rows), "fences")
+def limits_of(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The fences of all groups of the measured rows (lang, source, m), as a written table."""
+    return cut(fences(cut(sketch(measured), "sketches"), min_rows), "fences")
+
+
+def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """The measured rows (lang, source, m and others) with base_failed and kept, in columns of the struct `verdict`."""
     # sources can be many, too many to broadcast, and one of them can be hot: its rows meet its fences in SALTS places
     limits = limits.select(F.col("group.lang").alias("__lang"), F.col("group.source").alias("__source"), F.col("fence").alias("__fence"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
     salted = measured.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
@@ -169,14 +173,15 @@ def judged(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 def quality_rules(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """doc_id, m (measures), verdict (base_failed, kept) for every row."""
     measured = cut(docs.select("doc_id", "lang", "source", measures(F.col("text")).alias("m")), "measured")
-    return judged(measured, min_rows).select("doc_id", "m", "verdict")
+    return judged(measured, limits_of(measured, min_rows)).select("doc_id", "m", "verdict")
 
 
 def keep_good(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The rows of docs that pass, with docs' columns. Texts are written once with their measures and never shuffled by id."""
+    """The rows of docs that pass, with docs' columns. Texts are measured twice, for the fences and for the verdict, and neither copied nor shuffled."""
     names = docs.columns
+    limits = limits_of(docs.select("lang", "source", measures(F.col("text")).alias("m")), min_rows)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "lang", "source", measures(F.col("text")).alias("m"))
-    passed = judged(cut(packed, "measured"), min_rows).filter("verdict.kept")
+    passed = judged(packed, limits).filter("verdict.kept")
     return passed.select(*(F.col(f"row.`{c}`") for c in names))
 
 
