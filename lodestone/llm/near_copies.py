@@ -171,8 +171,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def sized(groups: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(node, group, n): n is the group's size if that is above the limit, else 0. Large groups are few, so that a hot one need not be shuffled."""
-    large = groups.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    """(node, group, n): n is the group's size if that is above the limit, else 0. Large groups are few: as a written table, whose size Spark knows, they go to the nodes, which are not shuffled."""
+    large = cut(groups.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > limit), "large-groups")
     return groups.join(large, "group", "left").select("node", "group", F.coalesce("n", F.lit(0)).alias("n"))
 
 
