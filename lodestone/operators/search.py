@@ -73,25 +73,27 @@ def records_of(records: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return records.join(keys.withColumnRenamed("key", key), key, "left_semi")
 
 
-def _statistics(by_token: DataFrame, by_key: DataFrame) -> DataFrame:
-    """From (token, n) and (key, n)."""
-    words = by_token.agg(F.count("*").alias("keywords"), F.sum(F.char_length("token") * 2 + F.col("n") * 32).alias("b"))
-    keys = by_key.agg(F.count("*").alias("entries"), F.sum("n").alias("pairs"), F.sum(F.char_length("key") * 2 + F.col("n") * 20).alias("c"))
-    # two one-row tables meet on a constant
-    both = words.withColumn("one", F.lit(1)).join(keys.withColumn("one", F.lit(1)), "one")
-    return both.select("entries", "keywords", F.when(F.col("entries") > 0, F.col("pairs") / F.col("entries")).otherwise(0.0).alias("keywords_per_entry"), F.coalesce(F.col("b") + F.col("c"), F.lit(0)).alias("memory_bytes"))
+def _statistics(keywords: Column, pairs: Column, entries: Column, key_chars: Column, token_bytes: Column) -> list[Column]:
+    per_entry = F.when(entries > 0, pairs / entries).otherwise(0.0)
+    return [entries.alias("entries"), keywords.alias("keywords"), per_entry.alias("keywords_per_entry"), F.coalesce(token_bytes + pairs * 32 + key_chars * 2 + pairs * 20, F.lit(0)).alias("memory_bytes")]
 
 
 def index_statistics(index: DataFrame) -> DataFrame:
     """One row: entries, keywords, keywords per entry, and the estimated bytes of an in-memory index of the same content."""
-    return _statistics(index.groupBy("token").agg(F.count("*").alias("n")), index.groupBy("key").agg(F.count("*").alias("n")))
+    words = index.groupBy("token").agg(F.count("*").alias("n")).agg(F.count("*").alias("keywords"), F.sum(F.char_length("token") * 2).alias("b"))
+    keys = index.groupBy("key").agg(F.count("*").alias("n")).agg(F.count("*").alias("entries"), F.sum("n").alias("pairs"), F.sum(F.char_length("key")).alias("c"))
+    # two one-row tables meet on a constant
+    both = words.withColumn("one", F.lit(1)).join(keys.withColumn("one", F.lit(1)), "one")
+    return both.select(*_statistics(*map(F.col, ("keywords", "pairs", "entries", "c", "b"))))
 
 
 def record_statistics(records: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """index_statistics of the records' index. Distinct keys are taken for granted: a record's postings are counted where it lies, and only tokens are shuffled."""
-    found = tokens(F.col(text), **options)
-    by_key = records.select(F.col(key).cast("string").alias("key"), F.size(found).alias("n")).filter("n > 0")
-    return _statistics(records.select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("n")), by_key)
+    """index_statistics of the records' index, for distinct keys: one pass over the texts and one shuffle, by token. A record is counted with its first token."""
+    found = records.select(F.char_length(F.col(key).cast("string")).alias("chars"), F.posexplode(tokens(F.col(text), **options)).alias("at", "token"))
+    first = F.col("at") == 0
+    words = found.groupBy("token").agg(F.count("*").alias("n"), F.count_if(first).alias("records"), F.sum(F.when(first, F.col("chars")).otherwise(0)).alias("chars"))
+    total = words.agg(F.count("*").alias("keywords"), F.sum("n").alias("pairs"), F.coalesce(F.sum("records"), F.lit(0)).alias("entries"), F.sum("chars").alias("c"), F.sum(F.char_length("token") * 2).alias("b"))
+    return total.select(*_statistics(*map(F.col, ("keywords", "pairs", "entries", "c", "b"))))
 
 
 def dump(index: DataFrame, most: int = 20) -> DataFrame:
