@@ -83,6 +83,23 @@ def delete_tables(spark: SparkSession, paths: list[str]) -> None:
         files.delete(at, True)
 
 
+#: Rows of one key that a shuffle join may bring together.
+HOT = 100_000
+
+
+def spread_join(rows: DataFrame, named: DataFrame, key: str, n: str, hot: int = HOT) -> DataFrame:
+    """rows joined with named, a written table of distinct keys, whose column n tells how many rows each key has.
+
+    Keys of more than `hot` rows are few, one for each `hot` rows at most. They are joined first, from a written table that Spark
+    broadcasts by its size, and their rows take no part in the shuffle of the others.
+    """
+    few = cut(named.filter(F.col(n) > hot), "hot-keys")
+    named = named.drop(n)
+    if few.isEmpty():
+        return rows.join(named, key)
+    return rows.join(few.drop(n), key).unionByName(rows.join(few.select(key), key, "left_anti").join(named, key))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds; a null id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import HOT, cut, spread_join, table
 from .components import components
 
 BITS, RADIUS, SHINGLE, LIMIT = 64, 3, 3, 2048
@@ -149,15 +149,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFra
         rows = cut(rows.join(hot, "key", "left_semi").select("key", "free", "fp").mapInArrow(_refine(radius), "key bigint, free bigint, fp bigint"), "refined")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id for every row; the component is named by its smallest doc_id."""
     marked = cut(fingerprints(docs, shingle), "fingerprints")
-    groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
+    groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
     roots = cut(components(links(groups.select("fp"), radius, limit)), "roots").withColumnRenamed("node", "fp")
     # only linked fingerprints go through the components; all others are their own
-    linked = groups.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(linked.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    linked = cut(groups.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "linked")
+    named = cut(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size")), "named")
+    of = cut(spread_join(linked.select("fp", "n", "root"), named, "root", "size", hot).select("fp", "n", "component_id"), "components")
+    return spread_join(marked, of, "fp", "n", hot).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

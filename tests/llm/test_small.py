@@ -139,8 +139,9 @@ def brute_fingerprint(text):
 
 def test_simhash_components(spark, docs, empty):
     want = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()], 3)
-    got = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    for hot in (simhash.HOT, 1):
+        got = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs, hot=hot).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     assert simhash.near_duplicates(empty).count() == 0
 
 
