@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 
 #: Bytes of a generation of a worker's memory, the longest text it remembers, and pairs in the pair table.
 CACHE, LONGEST, PAIRS = 40 << 20, 48, 200_000
@@ -357,6 +357,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs without text, with n_tokens, ids array<int>, and decodes: whether decoding gives the text again."""
+    bound_batches(docs.sparkSession)
     spec = broadcast_vocabulary(docs.sparkSession, path or default_path())
 
     @F.arrow_udf("struct<n_tokens: bigint, ids: array<int>, decodes: boolean>")

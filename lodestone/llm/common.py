@@ -17,6 +17,20 @@ from pyspark.sql import functions as F
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+#: Bytes of a batch that goes to a Python worker, and of a row group of a working table, which a writing task holds in memory.
+BATCH, ROW_GROUP = 8 << 20, 32 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Python workers get texts in batches of BATCH bytes, since a worker and its executor hold several copies of a batch.
+
+    It is a setting of the session, which is left alone where it is not Spark's default of 64 MB.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,7 +73,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     files.mkdirs(at)
     files.deleteOnExit(at)
     _WRITTEN.get([]).append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .common import cut, table
+from .common import bound_batches, cut, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Blocks of a fingerprint, and the bits that may differ in one, on the side of the items and on that of the windows.
@@ -371,6 +371,7 @@ def contaminated(text: Column, index) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with docs' columns."""
+    bound_batches(docs.sparkSession)
     for index in item_blocks(benchmark):
         docs = docs.filter(~contaminated(F.col("text"), docs.sparkSession.sparkContext.broadcast(index)))
     return docs

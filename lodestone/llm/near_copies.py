@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut
+from .common import bound_batches, cut
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, LIMIT, PIVOTS = 5, 0.8, 32, 5, 2048, 32
@@ -84,7 +84,11 @@ def sketched(text):
 def shingled(text):
     @F.arrow_udf("binary")
     def make(batch: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py()).tobytes() for t in batch], pa.binary())
+        flat, ends = bytearray(), [0]
+        for t in batch:
+            flat += shingle_set(t.as_py()).tobytes()
+            ends.append(len(flat))
+        return pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(np.array(ends, np.int32)), pa.py_buffer(flat)])
 
     return make(text.cast("string"))
 
@@ -200,6 +204,7 @@ def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, lim
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
     """One row of each group of near copies, with docs' columns: that of the smallest doc_id."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "doc_id", F.monotonically_increasing_id().alias("rid"), sketched(F.col("text")).alias("s"))
     packed = cut(packed, "sketched")  # from here on a row keeps its number

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds, written so that each is scanned in linear time: a number is tried at its first digit alone,
@@ -400,6 +400,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text (null stays null), and n_chars, where it is a column, counted again."""
+    bound_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(train())
 
     @F.arrow_udf("string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bound_batches, cut, table
 
 GAMMA, MIN_ROWS, MIN_WORDS = 1.02, 100, 50
 ZERO_BIN = -1_000_000
@@ -178,6 +178,7 @@ def quality_rules(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
 def keep_good(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """The rows of docs that pass, with docs' columns. Texts are measured twice, for the fences and for the verdict, and neither copied nor shuffled."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
     limits = limits_of(docs.select("lang", "source", measures(F.col("text")).alias("m")), min_rows)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "lang", "source", measures(F.col("text")).alias("m"))
