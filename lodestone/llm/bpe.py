@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, release, table
 
 #: Bytes of a generation of a worker's memory, the longest text it remembers, and pairs in the pair table.
 CACHE, LONGEST, PAIRS = 40 << 20, 48, 200_000
@@ -364,6 +364,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = worker_vocabulary(spec)
         for batch in batches:
+            release()
             sizes, back, flat = [], [], bytearray()
             for t in batch:
                 text = t.as_py() or ""

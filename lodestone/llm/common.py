@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH))
 
 
+def release() -> None:
+    """Gives the memory of earlier batches back: Arrow's pool keeps it otherwise, in idle workers too."""
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

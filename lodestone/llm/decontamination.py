@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from .common import bound_batches, cut, table
+from .common import bound_batches, cut, release, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Blocks of a fingerprint, and the bits that may differ in one, on the side of the items and on that of the windows.
@@ -364,6 +364,7 @@ def contaminated(text: Column, index) -> Column:
 
     @F.arrow_udf("boolean")
     def holds(batch: pa.Array) -> pa.Array:
+        release()
         return pa.array([bool(index.value.matches(t.as_py())) for t in batch], pa.bool_())
 
     return holds(text.cast("string"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bound_batches, cut
+from .common import bound_batches, cut, release
 from .components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, LIMIT, PIVOTS = 5, 0.8, 32, 5, 2048, 32
@@ -75,6 +75,7 @@ def sketch(text: str | None) -> tuple[int, list[int]]:
 def sketched(text):
     @F.arrow_udf("struct<node: bigint, keys: array<bigint>>")
     def make(batch: pa.Array) -> pa.Array:
+        release()
         node, keys = map(list, zip(*(sketch(t.as_py()) for t in batch))) if len(batch) else ([], [])
         return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
@@ -84,6 +85,7 @@ def sketched(text):
 def shingled(text):
     @F.arrow_udf("binary")
     def make(batch: pa.Array) -> pa.Array:
+        release()
         flat, ends = bytearray(), [0]
         for t in batch:
             flat += shingle_set(t.as_py()).tobytes()
@@ -125,6 +127,7 @@ def spanning_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int
 def _linked(similarity: float):
     def run(batches):
         for batch in batches:
+            release()
             a, b = [], []
             for members in batch.column(0):
                 rows = members.as_py()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, release, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds, written so that each is scanned in linear time: a number is tried at its first digit alone,
@@ -405,6 +405,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def clean(batch: pa.Array) -> pa.Array:
+        release()
         texts = [t.as_py() for t in batch]
         found = find([t or "" for t in texts], spec.value)
         return pa.array([None if t is None else redact(t, spans) for t, (_, spans) in zip(texts, found)], pa.string())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, table
+from .common import bound_batches, cut, release, table
 
 GAMMA, MIN_ROWS, MIN_WORDS = 1.02, 100, 50
 ZERO_BIN = -1_000_000
@@ -96,6 +96,7 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 def measures(text: Column) -> Column:
     @F.arrow_udf(MEASURES)
     def measure(batch: pa.Array) -> pa.Array:
+        release()
         rows = [measure_text(t.as_py()) for t in batch]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(FIELDS))], list(FIELDS))
 
